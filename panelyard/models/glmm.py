@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.models import design as d
-from panelyard.models.lmm import SUMS, Criterion, MixedModel, Structure, evaluate, minimise, random_places, start_theta
+from panelyard.models.lmm import SUMS, Criterion, MixedModel, Search, Structure, minimise, random_places, start_theta
 from panelyard.session import cut_lineage
 
 CHUNK = "_chunk"
@@ -120,12 +120,10 @@ def fit_glmm(
             over = groups.agg(F.sum(F.col("_extra")[0]).alias("a"), F.sum(F.col("_extra")[1]).alias("b")).first()
             nb_theta = float(over["b"] / over["a"]) if over["a"] and over["a"] > 0 else None
         old = np.concatenate([theta, beta])
-        theta, value, _, used = minimise(
-            lambda t: [rule.value(*p) for p in evaluate(groups, shape, t, None)], theta, max_steps=3 if step < 4 else 6
-        )
-        theta = np.where(np.isfinite(theta), theta, start_theta(len(z)))
-        _, beta, inverse, _ = rule.parts(*evaluate(groups, shape, theta[None, :], None)[0])
-        calls += used + 1
+        search = Search(groups, shape, rule)
+        theta, value, _ = minimise(search, theta, max_steps=3 if step == 0 else 1, scan=step == 0)
+        _, beta, inverse, _ = search.parts(theta)
+        calls += search.calls
         model = MixedModel(
             terms, random, entity, None, scales, shape, theta, beta, inverse, 1.0, n, float(value), False, calls,
             groups, response, family, {"trials": trials, "nb_theta": nb_theta, "steps": step + 1},

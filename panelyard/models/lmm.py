@@ -160,55 +160,80 @@ class Criterion:
         return self.parts(logdet, c)[0]
 
 
-def minimise(
-    objective: Callable[[np.ndarray], list[float]], theta: np.ndarray, max_steps: int = 40, tolerance: float = 1e-7,
-    step: float = 1e-4,
-) -> tuple[np.ndarray, float, bool, int]:
-    """Quasi-Newton search. ``objective`` takes a stack of candidates and answers all of them at once, so a step
-    usually costs one call. Returns (theta, value, converged, calls)."""
-    m = len(theta)
-    around = step * np.vstack([np.zeros(m), np.eye(m), -np.eye(m)])
-    lengths = np.array([1.0, 0.5, 2.0, 0.25, 0.1, 0.02])
+class Search:
+    """The criterion as a function of many candidates at once, remembering the sums of every answer."""
+
+    def __init__(self, groups: DataFrame, shape: Structure, rule: Criterion, outer: str | None = None):
+        self.groups, self.shape, self.rule, self.outer = groups, shape, rule, outer
+        self.calls, self.seen = 0, {}
+
+    def __call__(self, thetas: np.ndarray) -> np.ndarray:
+        self.calls += 1
+        answers = evaluate(self.groups, self.shape, thetas, self.outer)
+        self.seen = {t.tobytes(): part for t, part in zip(thetas, answers)} | self.seen
+        return np.array([self.rule.value(*part) for part in answers])
+
+    def parts(self, theta: np.ndarray):
+        if theta.tobytes() not in self.seen:
+            self(theta[None, :])
+        return self.rule.parts(*self.seen[theta.tobytes()])
 
-    def slope(f: np.ndarray) -> np.ndarray:
-        return (f[1 : m + 1] - f[m + 1 : 2 * m + 1]) / (2 * step)
 
-    answers = np.array(objective(theta + around))
-    f, g = answers[0], slope(answers)
-    h, fresh, calls = np.eye(m) / max(np.linalg.norm(g), 1.0), True, 1
+def minimise(
+    search: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, max_steps: int = 25, scan: bool = True,
+    tolerance: float = 1e-7,
+) -> tuple[np.ndarray, float, bool]:
+    """Newton search with derivatives by differences. ``search`` answers a stack of candidates in one call, so a
+    step asks for the full step with its differences and for shorter and longer steps together. ``scan`` tries the
+    starting point at several scales first. Returns (theta, value, converged)."""
+    m = len(theta)
+    unit = np.eye(m)
+    pairs = [(i, j) for i in range(m) for j in range(i)]
+    lengths = np.array([0.5, 0.25, 0.1, 0.02, 2.0])
+
+    def stencil(t: np.ndarray) -> tuple[np.ndarray, float]:
+        h = 2e-3 * max(np.max(np.abs(t)), 1e-3)
+        moves = [np.zeros(m), *unit, *-unit, *[unit[i] + unit[j] for i, j in pairs], *[-unit[i] - unit[j] for i, j in pairs]]
+        return t + h * np.array(moves), h
+
+    def derivatives(f: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+        up, down = f[1 : m + 1], f[m + 1 : 2 * m + 1]
+        second = np.diag((up - 2 * f[0] + down) / h**2)
+        both = f[2 * m + 1 :].reshape(2, -1)
+        for k, (i, j) in enumerate(pairs):
+            mixed = (both[0, k] + both[1, k] + 2 * f[0] - up[i] - up[j] - down[i] - down[j]) / (2 * h**2)
+            second[i, j] = second[j, i] = mixed
+        return (up - down) / (2 * h), second
+
+    if scan:
+        scales = np.array([1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 3.0])
+        theta = theta * scales[int(np.nanargmin(search(scales[:, None] * theta)))]
+    points, h = stencil(theta)
+    answers = search(points)
+    value, (slope, curve) = answers[0], derivatives(answers, h)
     for _ in range(max_steps):
-        if np.max(np.abs(g)) < tolerance * max(abs(f), 1.0):
-            return theta, f, True, calls
-        move = -h @ g
-        if move @ g >= 0:
-            h, fresh = np.eye(m) / max(np.linalg.norm(g), 1.0), True
-            move = -h @ g
-        # One call answers the full step with its gradient and a few other lengths.
-        answers = np.array(objective(np.vstack([theta + move + around, theta + lengths[1:, None] * move])))
-        calls += 1
-        trial = np.concatenate([answers[:1], answers[2 * m + 1 :]])
-        if trial[0] <= f + 0.1 * (move @ g):
-            best = 0
-        else:
-            best = int(np.nanargmin(trial))
-            if not trial[best] < f:
-                if fresh:
-                    return theta, f, True, calls
-                h, fresh = np.eye(m) * 1e-3, True
-                continue
-            answers = np.array(objective(theta + lengths[best] * move + around))
-            calls += 1
-        new, f_new, g_new = theta + lengths[best] * move, answers[0], slope(answers)
-        s, y = new - theta, g_new - g
-        if s @ y > 1e-12:
-            rho = 1.0 / (s @ y)
-            left = np.eye(m) - rho * np.outer(s, y)
-            h, fresh = left @ h @ left.T + rho * np.outer(s, s), False
-        done = abs(f - f_new) < tolerance * 1e-2 * max(abs(f), 1.0)
-        theta, f, g = new, f_new, g_new
-        if done:
-            return theta, f, True, calls
-    return theta, f, False, calls
+        w, v = np.linalg.eigh(curve)
+        w = np.maximum(np.abs(w), 1e-10 * np.max(np.abs(w)) + 1e-300)
+        step = -v @ ((v.T @ slope) / w)
+        gain = -slope @ step / 2
+        if not gain > tolerance:
+            return theta, value, True
+        points, h = stencil(theta + step)
+        answers = search(np.vstack([points, theta + lengths[:, None] * step]))
+        near, far = answers[: len(points)], answers[len(points) :]
+        if near[0] < value - 0.1 * gain:
+            theta, value, (slope, curve) = points[0], near[0], derivatives(near, h)
+            continue
+        best = int(np.nanargmin(far))
+        if not far[best] < value:
+            if near[0] < value:
+                return points[0], near[0], True
+            return theta, value, gain < 1e-3
+        theta, value = theta + lengths[best] * step, far[best]
+        points, h = stencil(theta)
+        answers = search(points)
+        slope, curve = derivatives(answers, h)
+    return theta, value, False
 
 
 @dataclass
@@ -381,7 +406,7 @@ def fit_mixed(
     entity: str,
     random: Sequence[str] = (),
     outer: str | None = None,
-    max_steps: int = 40,
+    max_steps: int = 25,
 ) -> MixedModel:
     """REML fit of ``response ~ terms + (1 + random | entity)``, or with ``outer`` of
     ``(1 + random | outer) + (1 + random | outer:entity)``.
@@ -400,16 +425,11 @@ def fit_mixed(
     groups = cut_lineage(rows.groupBy(*keys).agg(d.packed_products([*x, y]).alias(SUMS)))
     shape = Structure(len(x) + 1, random_places(terms, random), 2 if outer else 1)
     n = int(round(groups.agg(F.sum(F.col(SUMS)[0])).first()[0] or 0))
-    rule = Criterion(n)
-
-    def objective(thetas: np.ndarray) -> list[float]:
-        return [rule.value(*part) for part in evaluate(groups, shape, thetas, outer)]
-
-    start = np.concatenate([start_theta(shape.r)] * shape.levels)
-    theta, _, converged, calls = minimise(objective, start, max_steps)
-    value, beta, inverse, s2 = rule.parts(*evaluate(groups, shape, theta[None, :], outer)[0])
+    search = Search(groups, shape, Criterion(n), outer)
+    theta, _, converged = minimise(search, np.concatenate([start_theta(shape.r)] * shape.levels), max_steps)
+    value, beta, inverse, s2 = search.parts(theta)
     value += 2 * sum(np.log(scales.scale)) + (n - len(beta)) * 2 * np.log(scales.y_scale)
     return MixedModel(
         terms, random, entity, outer, scales, shape, theta, beta, inverse, float(s2), n, float(value), converged,
-        calls, groups, response,
+        search.calls, groups, response,
     )

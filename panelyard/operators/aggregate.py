@@ -45,15 +45,18 @@ def totals_by(df: DataFrame, time: str, measures: Sequence[str]) -> DataFrame:
 
 
 def kpi_totals(df: DataFrame, time: str, measures: Sequence[str], at: Column | None = None) -> DataFrame:
-    """One row: totals of ``measures`` at the last date (or at ``at``), that date, and the days covered."""
-    bounds = df.agg(F.max(time).alias("last"), F.min(time).alias("first"))
-    last = bounds.select("last").scalar()
-    first = bounds.select("first").scalar()
-    return df.filter(F.col(time) == (last if at is None else at)).agg(
-        *[F.sum(m).alias(m) for m in measures],
-        F.max(time).alias("last_date"),
-        F.datediff(F.any_value(last), F.any_value(first)).alias("days_covered"),
-    )
+    """One row: totals of ``measures`` at the last date (or at ``at``), that date, and the days covered.
+
+    One pass: totals per date first, then the last of them.
+    """
+    daily = totals_by(df, time, measures)
+    if at is None:
+        picked = [F.max_by(m, time).alias(m) for m in measures] + [F.max(time).alias("last_date")]
+    else:
+        hit = F.col(time) == at
+        picked = [F.max(F.when(hit, F.col(m))).alias(m) for m in measures]
+        picked.append(F.max(F.when(hit, F.col(time))).alias("last_date"))
+    return daily.agg(*picked, F.datediff(F.max(time), F.min(time)).alias("days_covered"))
 
 
 def entity_kpi(

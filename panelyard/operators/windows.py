@@ -1,17 +1,18 @@
 """Ordered panel operators that stay balanced when one entity holds a large part of all rows.
 
-A plain ``Window.partitionBy(entity)`` sends an entity to one task. Here an entity's timeline is cut into
-buckets derived from the time value itself, the window runs per (entity, bucket), and what a bucket needs to
-know of the past travels as one *carry row* per bucket:
-
-* the last row of every bucket and the first time of the entity come from a grouped aggregate (map-side
-  combine, so it is small whatever the skew),
-* a window over that small table moves them to the next bucket that has rows,
-* they are stacked onto the data, sort in front of their bucket, and are dropped after the window.
-
-The data is shuffled once and sorted once. On a panel that is unique on (entity, time) a bucket holds at most
-``span`` rows for dates and integers, so no task ever sees an unbounded group. The cut points are a function of
-the value, so a re-run task computes the same buckets.
+The panel key is (entity, time). What that says about the rows of one entity depends on the type of the time:
+
+* **Dates.** An entity has at most one row per calendar day, so a century is 36,525 rows whatever the size of the
+  table. An ordinary ``Window.partitionBy(entity)`` is bounded and is used: one shuffle, one sort, shared by every
+  operator that orders the same way. A repeated key breaks the bound (and has no defined order), so it stops the
+  job; sum reporting units first with :func:`panelyard.operators.panel.collapse_to_key`.
+* **Timestamps and numbers.** Nothing bounds an entity, so its timeline is cut into buckets of ``span`` time units,
+  the window runs per (entity, bucket), and what a bucket needs to know of the past travels as one *carry row*:
+  the last row of every bucket and the first time of the entity come from a grouped aggregate (map-side combine),
+  a window over that small table moves them to the next bucket that has rows, and they are stacked onto the data,
+  sort in front of their bucket, and are dropped after the window. The data is shuffled and sorted once. The cut
+  points are a function of the value, so a re-run task computes the same buckets. Passing ``span`` selects this
+  form for dates too.
 """
 
 from __future__ import annotations
@@ -26,18 +27,22 @@ from panelyard.operators.joins import left_join
 
 BUCKET, ROLE, STATE, START = "_bucket", "_role", "_state", "_start"
 
-# Time units per bucket: days for dates, seconds for timestamps, plain units for numbers.
-DEFAULT_SPAN = {"date": 512, "timestamp": 6 * 3600, "number": 4096}
+# Time units per bucket: seconds for timestamps, plain units for numbers.
+DEFAULT_SPAN = {"timestamp": 6 * 3600, "number": 4096}
 
 
 def entity_columns(entity: str | Sequence[str]) -> list[str]:
     return [entity] if isinstance(entity, str) else list(entity)
 
 
+def bounded_by_calendar(df: DataFrame, time: str, span: float | None) -> bool:
+    return span is None and isinstance(df.schema[time].dataType, T.DateType)
+
+
 def time_bucket(df: DataFrame, time: str, span: float | None = None) -> Column:
     kind = df.schema[time].dataType
     if isinstance(kind, T.DateType):
-        units, default = F.unix_date(time), DEFAULT_SPAN["date"]
+        units, default = F.unix_date(time), 512
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         units, default = F.unix_seconds(F.col(time).cast("timestamp")), DEFAULT_SPAN["timestamp"]
     elif isinstance(kind, T.NumericType):
@@ -56,7 +61,15 @@ def with_previous(
     one series.
     """
     keys = entity_columns(entity)
-    rows = df.filter(F.col(time).isNotNull()).withColumn(BUCKET, time_bucket(df, time, span))
+    rows = df.filter(F.col(time).isNotNull())
+    if bounded_by_calendar(df, time, span):
+        order = Window.partitionBy(*keys).orderBy(time)
+        before = F.lag(F.struct(time, *values)).over(order)
+        repeated = F.raise_error(F.concat(F.lit("the panel key repeats at "), F.col(time).cast("string")))
+        return rows.withColumns({"_previous": before, START: F.first(time).over(order)}).withColumn(
+            "_previous", F.when(F.col(f"_previous.{time}") == F.col(time), repeated).otherwise(F.col("_previous"))
+        )
+    rows = rows.withColumn(BUCKET, time_bucket(df, time, span))
     edges = rows.groupBy(*keys, BUCKET).agg(
         *[F.max_by(v, time).alias(v) for v in values], F.min(time).alias(START)
     )
@@ -115,7 +128,11 @@ def running_totals(
 ) -> DataFrame:
     """``{new column: column}`` cumulative sums, the inverse of :func:`deltas`, cut the same way."""
     keys = entity_columns(entity)
-    rows = df.filter(F.col(time).isNotNull()).withColumn(BUCKET, time_bucket(df, time, span))
+    rows = df.filter(F.col(time).isNotNull())
+    if bounded_by_calendar(df, time, span):
+        order = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(m).over(order) for n, m in measures.items()})
+    rows = rows.withColumn(BUCKET, time_bucket(df, time, span))
     over_buckets = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*keys, BUCKET)
