@@ -181,7 +181,7 @@ class Search:
 
 def minimise(
     search: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, max_steps: int = 25, scan: bool = True,
-    tolerance: float = 1e-7,
+    tolerance: float = 1e-10,
 ) -> tuple[np.ndarray, float, bool]:
     """Newton search with derivatives by differences. ``search`` answers a stack of candidates in one call, so a
     step asks for the full step with its differences and for shorter and longer steps together. ``scan`` tries the
@@ -192,7 +192,7 @@ def minimise(
     lengths = np.array([0.5, 0.25, 0.1, 0.02, 2.0])
 
     def stencil(t: np.ndarray) -> tuple[np.ndarray, float]:
-        h = 2e-3 * max(np.max(np.abs(t)), 1e-3)
+        h = 5e-4 * max(np.max(np.abs(t)), 1e-3)
         moves = [np.zeros(m), *unit, *-unit, *[unit[i] + unit[j] for i, j in pairs], *[-unit[i] - unit[j] for i, j in pairs]]
         return t + h * np.array(moves), h
 
@@ -216,7 +216,7 @@ def minimise(
         w = np.maximum(np.abs(w), 1e-10 * np.max(np.abs(w)) + 1e-300)
         step = -v @ ((v.T @ slope) / w)
         gain = -slope @ step / 2
-        if not gain > tolerance:
+        if not gain > tolerance + 1e-13 * abs(value):
             return theta, value, True
         points, h = stencil(theta + step)
         answers = search(np.vstack([points, theta + lengths[:, None] * step]))

@@ -18,6 +18,7 @@ from panelyard.functions.distributions import t_two_sided
 from panelyard.models import design as d
 from panelyard.models.design import unpack
 from panelyard.operators.windows import entity_columns, holm
+from panelyard.session import cut_lineage
 
 COEFFICIENTS = "term string, estimate double, std_error double, statistic double, p_value double, lower double, upper double"
 
@@ -198,8 +199,12 @@ def grouped_regression(df: DataFrame, entity: str | Sequence[str], response: str
 
 
 def grouped_term(fits: DataFrame, term: str) -> DataFrame:
-    """One term of every entity's fit with Holm-adjusted p-values, largest estimate first."""
-    return holm(fits.filter(F.col("term") == term), "p_value").orderBy(F.col("estimate").desc())
+    """One term of every entity's fit with Holm-adjusted p-values, largest estimate first.
+
+    The adjustment reads the p-values several times, so the table of one row per entity is written first.
+    """
+    chosen = cut_lineage(fits.filter(F.col("term") == term))
+    return holm(chosen, "p_value").orderBy(F.col("estimate").desc())
 
 
 @dataclass

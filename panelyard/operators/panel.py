@@ -70,9 +70,9 @@ def latest_snapshot(metrics: DataFrame, time: str) -> DataFrame:
 def recent_active_window(
     df: DataFrame, entity: str, change: str, order: str, n: int, banned: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows with a positive change, without listed entities, last ``n`` per entity (ties kept)."""
+    """Rows of a panel with a positive change, without listed entities, last ``n`` per entity."""
     rows = df.filter(F.col(change) > 0)
-    return w.recent_n(without_entities(rows, entity, banned) if banned else rows, entity, order, n)
+    return w.recent_n(without_entities(rows, entity, banned) if banned else rows, entity, order, n, unique=True)
 
 
 def forecast_grid(

@@ -158,14 +158,19 @@ def attach_group_max(df: DataFrame, entity: str, columns: Mapping[str, str]) ->
     return left_join(df, top, entity)
 
 
-def recent_n(df: DataFrame, entity: str, order: str, n: int) -> DataFrame:
+def recent_n(df: DataFrame, entity: str, order: str, n: int, unique: bool = False) -> DataFrame:
     """The ``n`` rows with the largest ``order`` per entity, **ties at the limit kept**.
 
-    Rows are never gathered per entity. Counts per distinct (entity, order) value give, for each entity, the
+    With ``unique`` the caller says that (entity, order) does not repeat, as on a panel: then a rank does it in one
+    pass, and Spark keeps ``n`` rows per entity and task before the shuffle. Without it a value may repeat any
+    number of times, and rows are never gathered per entity. Counts per distinct (entity, order) value give, for each entity, the
     value at which the ``n``-th row sits; rows at or above it stay. A value repeated any number of times is one
     counted row on the way.
     """
     value = F.col(order)
+    if unique:
+        place = F.rank().over(Window.partitionBy(entity).orderBy(value.desc()))
+        return df.filter(value.isNotNull()).withColumn("_r", place).filter(F.col("_r") <= n).drop("_r")
     counts = df.filter(value.isNotNull()).groupBy(entity, order).agg(F.count(F.lit(1)).alias("_c"))
     down = Window.partitionBy(entity).orderBy(value.desc())
     before = F.sum("_c").over(down.rowsBetween(Window.unboundedPreceding, -1))
@@ -208,15 +213,18 @@ def holm(df: DataFrame, p: str, adjusted: str = "adjusted") -> DataFrame:
     cells = counts.withColumn("_cell", _p_bucket(F.col("_p")))
     below = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cells.groupBy("_cell").agg(F.sum("_c").alias("_n"))
-    offsets = sizes.select("_cell", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
-    total = counts.agg(F.sum("_c")).scalar()
+    offsets = sizes.select(
+        "_cell",
+        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(Window.partitionBy()).alias("_total"),
+    )
     inside = Window.partitionBy("_cell").orderBy("_p")
     smaller = F.col("_offset") + F.coalesce(
         F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     raw = (
         cells.join(offsets, "_cell")
-        .withColumn("_raw", (total - smaller) * F.col("_p"))
+        .withColumn("_raw", (F.col("_total") - smaller) * F.col("_p"))
         .withColumn("_raw", F.max("_raw").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
     tops = raw.groupBy("_cell").agg(F.max("_raw").alias("_top"))

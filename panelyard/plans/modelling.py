@@ -9,12 +9,14 @@ from panelyard.functions.numeric import safe_log
 from panelyard.models import evaluate, ols, predict
 from panelyard.models.glmm import fit_glmm
 from panelyard.models.lmm import fit_mixed
+from panelyard.models.store import load_model, save_model
 from panelyard.operators import panel as p
 from panelyard.operators import scale, windows
 from panelyard.operators.aggregate import mean_squared_error
 from panelyard.plans.composites import exposed_panel
 from panelyard.plans.registry import query
 from panelyard.plans.tables import PANEL_SQL, order_panel, rounded, table, text_date
+from panelyard.session import shared_path
 
 
 def prices(spark, sf_dir):
@@ -111,7 +113,7 @@ def model_summary(model):
     for name, matrix in zip(["entity", "outer"], levels):
         rows += [(f"{name} variance {i}", float(matrix[i, i])) for i in range(len(matrix))]
     extra = model.spark.createDataFrame(rows, "term string, estimate double")
-    return model.coefficients().select("term", "estimate").unionByName(extra).select("term", rounded("estimate", 6))
+    return model.coefficients().select("term", "estimate").unionByName(extra).select("term", rounded("estimate", 5))
 
 
 @query("m4_mixed_model")
@@ -123,7 +125,7 @@ def mixed_model(spark, sf_dir):
 
 def balanced(spark, sf_dir):
     """The last 21 rows of every nation's panel: the same number of rows per nation."""
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 21)
+    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 21, unique=True)
     return rows.select("nation", "region", "day", "exposure", safe_log("placed").alias("y"))
 
 
@@ -137,7 +139,7 @@ _BALANCED = f"""WITH {PANEL_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY nati
 
 @query(
     "m4_balanced_layout",
-    f"""{_BALANCED} SELECT term, round(x, 6) AS estimate FROM (SELECT '(Intercept)' AS term, m AS x FROM v
+    f"""{_BALANCED} SELECT term, round(x, 5) AS estimate FROM (SELECT '(Intercept)' AS term, m AS x FROM v
         UNION ALL SELECT 'entity variance 0', d FROM v UNION ALL SELECT 'residual variance', mse FROM v)""",
 )
 def balanced_layout(spark, sf_dir):
@@ -151,9 +153,29 @@ def nested_mixed_model(spark, sf_dir):
     )
 
 
+# Balanced nested layout; a negative area component is set to zero and pooled with the next level, as REML does.
+_NESTED = f"""{_BALANCED}, gr AS (SELECT DISTINCT nation, region, gy, n, ss FROM g JOIN (SELECT DISTINCT nation, region FROM t) USING (nation)),
+  rr AS (SELECT region, avg(gy) AS ry, count(*) AS k, sum((gy - (SELECT avg(b.gy) FROM gr b WHERE b.region = gr.region)) * (gy - (SELECT avg(b.gy) FROM gr b WHERE b.region = gr.region))) AS sn FROM gr GROUP BY 1),
+  ms AS (SELECT a.m, a.n, a.mse, max(k) AS k, count(*) AS areas, a.groups, a.n * sum(sn) AS ssn, a.n * max(k) * var_samp(ry) * (count(*) - 1) AS ssr
+         FROM rr, a GROUP BY a.m, a.n, a.mse, a.groups),
+  c AS (SELECT *, ssr / (areas - 1) AS msr, ssn / (groups - areas) AS msn FROM ms),
+  comp AS (SELECT m, mse, CASE WHEN msr > msn THEN (msr - msn) / (n * k) ELSE 0 END AS dr,
+         CASE WHEN msr > msn THEN (msn - mse) / n ELSE ((ssr + ssn) / (groups - 1) - mse) / n END AS de FROM c)"""
+
+
+@query(
+    "m5_balanced_nested_layout",
+    f"""{_NESTED} SELECT term, round(x, 5) AS estimate FROM (SELECT '(Intercept)' AS term, m AS x FROM comp
+        UNION ALL SELECT 'entity variance 0', de FROM comp UNION ALL SELECT 'outer variance 0', dr FROM comp
+        UNION ALL SELECT 'residual variance', mse FROM comp)""",
+)
+def balanced_nested_layout(spark, sf_dir):
+    return model_summary(fit_mixed(balanced(spark, sf_dir), "y", [], "nation", outer="region"))
+
+
 @query("m5b_nested_new_counts")
 def nested_new_counts(spark, sf_dir):
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60).withColumn("y", safe_log("new_placed"))
+    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60, unique=True).withColumn("y", safe_log("new_placed"))
     return model_summary(fit_mixed(rows, "y", ["exposure"], "nation", ["exposure"], outer="region"))
 
 
@@ -241,7 +263,7 @@ def negative_binomial(spark, sf_dir):
 
 @query("m11_poisson")
 def poisson(spark, sf_dir):
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60)
+    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60, unique=True)
     return model_summary(fit_glmm(rows, "new_placed", ["exposure"], "nation", family="poisson"))
 
 
@@ -338,6 +360,28 @@ def explained_variance(spark, sf_dir):
     return out.select(*[rounded(c, 6) for c in out.columns])
 
 
+@query(
+    "m18_balanced_layout",
+    f"""{_BALANCED} SELECT 0.0::DOUBLE AS var_fixed, round(d, 5) AS var_random, round(mse, 5) AS var_residual, 0.0::DOUBLE AS r2_marginal,
+        round(d / (d + mse), 5) AS r2_conditional FROM v""",
+)
+def balanced_explained_variance(spark, sf_dir):
+    rows = balanced(spark, sf_dir)
+    out = evaluate.explained_variance(fit_mixed(rows, "y", [], "nation"), rows)
+    return out.select(*[rounded(c, 5) for c in out.columns])
+
+
+@query(
+    "s14_saved_model",
+    f"""{_BALANCED} SELECT nation, round(m + d * n / (d * n + mse) * (gy - m), 6) AS predicted FROM g, (SELECT m, d, mse FROM v)""",
+)
+def saved_model(spark, sf_dir):
+    """Fit, save, load, and predict with the loaded model."""
+    rows = balanced(spark, sf_dir)
+    loaded = load_model(spark, save_model(fit_mixed(rows, "y", [], "nation"), shared_path(spark, "model")))
+    return predict.predict(loaded, rows.select("nation").distinct()).select("nation", rounded("predicted", 6))
+
+
 @query(
     "m19_actual_vs_forecast",
     f"""{_BALANCED}, s AS (SELECT nation, m + d * n / (d * n + mse) * (gy - m) AS est,

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelyard.models.lmm import fit_mixed
-from panelyard.models.store import load_model, save_model
 from panelyard.operators import clean, keys, reshape
 from panelyard.plans.registry import query
 from panelyard.plans.tables import (
@@ -233,14 +231,6 @@ def user_exports(spark, sf_dir):
     return whole.join(single, ["nation", "day"]).select("nation", text_date("day"), "placed", "active")
 
 
-@query("s14_saved_model")
-def saved_model(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity")
-    fitted = fit_mixed(rows, "l_extendedprice", ["l_quantity"], "l_suppkey", ["l_quantity"])
-    loaded = load_model(spark, save_model(fitted, shared_path(spark, "model")))
-    return loaded.coefficients().select("term", rounded("estimate", 3), rounded("std_error", 3))
-
-
 @query(
     "s1_stream_incremental",
     f"""WITH {MONTHLY_SQL} SELECT nation, CAST(day AS VARCHAR) AS day, placed,

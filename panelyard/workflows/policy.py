@@ -44,7 +44,7 @@ def policy_table(metrics: DataFrame, policy: DataFrame, doses: DataFrame) -> Dat
 
 
 def recent_policy_rows(table: DataFrame) -> DataFrame:
-    return recent_n(table, "country", "exposure", v.POLICY_ROWS)
+    return recent_n(table, "country", "exposure", v.POLICY_ROWS, unique=True)
 
 
 POLICY_TERMS = ["timespan"] + [f"C{i}" for i in range(1, 9)] + [f"C{i}:timespan" for i in range(1, 9)]

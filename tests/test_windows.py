@@ -74,6 +74,8 @@ def test_recent_n_keeps_ties(spark):
     kept = as_set(w.recent_n(df, "e", "v", 3), "k")
     assert kept == {(0,), (1,), (2,), (3,), (4,), (7,), (9,)}
     assert as_set(w.recent_n(df, "e", "v", 2), "k") == {(0,), (1,), (7,), (9,)}
+    for n in (1, 3, 5):
+        assert as_set(w.recent_n(df, "e", "v", n, unique=True), "k") == as_set(w.recent_n(df, "e", "v", n), "k")
 
 
 def test_recent_n_against_rank_on_random_ties(spark):
