@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelyard.models import design as d
 from panelyard.models.lmm import SUMS, Criterion, MixedModel, Search, Structure, minimise, random_places, start_theta
+from panelyard.operators.windows import mark_hot
 from panelyard.session import cut_lineage
 
 CHUNK = "_chunk"
@@ -37,19 +38,12 @@ def variance(family: str, mu: Column, theta: float | None) -> Column:
 
 
 def spread_hot(df: DataFrame, entity: str, rows_per_chunk: int) -> DataFrame:
-    """Add a chunk number: 0 for ordinary entities, a row hash modulo rows/rows_per_chunk for large ones.
-
-    Only entities above ``rows_per_chunk`` rows are listed, so the list has at most (all rows / rows_per_chunk)
-    entries. The broadcast is left to Spark's own size check.
-    """
-    sizes = df.groupBy(F.col(entity).alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > rows_per_chunk).select(
-        "_e", F.ceil(F.col("_n") / F.lit(rows_per_chunk)).alias("_parts")
-    )
-    spread = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("_parts"))
+    """Add a chunk number: 0 for ordinary entities, a row hash modulo rows/rows_per_chunk for large ones."""
+    parts = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
+    spread = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), parts)
     )
-    return df.join(hot, F.col(entity) == F.col("_e"), "left").withColumn(CHUNK, spread.cast("int")).drop("_e", "_parts")
+    return mark_hot(df, [entity], rows_per_chunk).withColumn(CHUNK, spread.cast("int")).drop("_n")
 
 
 def fit_glmm(
@@ -121,7 +115,7 @@ def fit_glmm(
             nb_theta = float(over["b"] / over["a"]) if over["a"] and over["a"] > 0 else None
         old = np.concatenate([theta, beta])
         search = Search(groups, shape, rule)
-        theta, value, _ = minimise(search, theta, max_steps=3 if step == 0 else 1, scan=step == 0)
+        theta, value, _ = minimise(search, theta, max_steps=5, scan=step == 0)
         _, beta, inverse, _ = search.parts(theta)
         calls += search.calls
         model = MixedModel(

@@ -78,8 +78,15 @@ def _sum_columns(width: int) -> list[str]:
     return [f"c{i}" for i in range(width * (width + 1) // 2)]
 
 
-def evaluate(groups: DataFrame, shape: Structure, thetas: np.ndarray, outer: str | None) -> list[tuple[float, np.ndarray]]:
-    """(sum of log-determinants, summed C) for every candidate, in one job."""
+# Up to this many partial sums per candidate are added up on the driver; more are added up by a grouped aggregate.
+FEW_PARTS = 32
+
+
+def evaluate(
+    groups: DataFrame, shape: Structure, thetas: np.ndarray, outer: str | None, few: bool = False
+) -> list[tuple[float, np.ndarray]]:
+    """(sum of log-determinants, summed C) for every candidate, in one job. ``few`` says that the group table has
+    at most ``FEW_PARTS`` partitions, each of which gives one partial sum per candidate."""
     width, z, names = shape.width, shape.z, _sum_columns(shape.width)
     lowers = [shape.lowers(t) for t in thetas]
     kind = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
@@ -132,10 +139,12 @@ def evaluate(groups: DataFrame, shape: Structure, thetas: np.ndarray, outer: str
     else:
         inner = groups.select(outer, SUMS).mapInPandas(inner_level, f"k int, `{outer}` {kind[outer]}, logdet double, {sums}")
         parts = inner.groupBy("k", outer).agg(*add).mapInPandas(outer_level, f"k int, logdet double, {sums}")
-    rows = {r["k"]: r for r in parts.groupBy("k").agg(*add).collect()}
-    return [
-        (rows[i]["logdet"], unpack(np.array([[rows[i][c] for c in names]]), width)[0]) for i in range(len(lowers))
-    ]
+    if not (few and shape.levels == 1):
+        parts = parts.groupBy("k").agg(*add)
+    total = np.zeros((len(lowers), 1 + len(names)))
+    for row in parts.select("k", "logdet", *names).collect():
+        total[row[0]] += row[1:]
+    return [(t[0], unpack(t[None, 1:], width)[0]) for t in total]
 
 
 @dataclass
@@ -166,10 +175,11 @@ class Search:
     def __init__(self, groups: DataFrame, shape: Structure, rule: Criterion, outer: str | None = None):
         self.groups, self.shape, self.rule, self.outer = groups, shape, rule, outer
         self.calls, self.seen = 0, {}
+        self.few = groups.rdd.getNumPartitions() <= FEW_PARTS
 
     def __call__(self, thetas: np.ndarray) -> np.ndarray:
         self.calls += 1
-        answers = evaluate(self.groups, self.shape, thetas, self.outer)
+        answers = evaluate(self.groups, self.shape, thetas, self.outer, self.few)
         self.seen = {t.tobytes(): part for t, part in zip(thetas, answers)} | self.seen
         return np.array([self.rule.value(*part) for part in answers])
 

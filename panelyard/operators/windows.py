@@ -6,13 +6,14 @@ The panel key is (entity, time). What that says about the rows of one entity dep
   table. An ordinary ``Window.partitionBy(entity)`` is bounded and is used: one shuffle, one sort, shared by every
   operator that orders the same way. A repeated key breaks the bound (and has no defined order), so it stops the
   job; sum reporting units first with :func:`panelyard.operators.panel.collapse_to_key`.
-* **Timestamps and numbers.** Nothing bounds an entity, so its timeline is cut into buckets of ``span`` time units,
-  the window runs per (entity, bucket), and what a bucket needs to know of the past travels as one *carry row*:
-  the last row of every bucket and the first time of the entity come from a grouped aggregate (map-side combine),
-  a window over that small table moves them to the next bucket that has rows, and they are stacked onto the data,
-  sort in front of their bucket, and are dropped after the window. The data is shuffled and sorted once. The cut
-  points are a function of the value, so a re-run task computes the same buckets. Passing ``span`` selects this
-  form for dates too.
+* **Timestamps and numbers.** Nothing bounds an entity, so the timeline of every large one is cut into buckets of
+  ``span`` time units, the window runs per (entity, bucket), and what a bucket needs to know of the past travels as
+  one *carry row*: the last row of every bucket and the first time of the entity come from a grouped aggregate
+  (map-side combine), a window over that small table moves them to the next bucket that has rows, and they are
+  stacked onto the data, sort in front of their bucket, and are dropped after the window. The data is shuffled and
+  sorted once. The cut points are a function of the value, so a re-run task computes the same buckets. An entity is
+  large above ``hot_rows`` rows (see :func:`hot_entities`); the others stay whole. Passing ``span`` selects this form
+  for dates too.
 """
 
 from __future__ import annotations
@@ -39,6 +40,39 @@ def bounded_by_calendar(df: DataFrame, time: str, span: float | None) -> bool:
     return span is None and isinstance(df.schema[time].dataType, T.DateType)
 
 
+# An entity above this many rows is cut; at most this many entities are ever listed as large.
+HOT_ROWS = 1_000_000
+MOST_LISTED = 20_000
+
+
+def hot_entities(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Entities (as ``_h0``, ``_h1``...) with more than ``hot_rows`` rows and more than 1/20,000 of all rows.
+
+    Fewer than 20,000 entities can each hold more than 1/20,000 of the rows, so the list has a fixed size bound and
+    may be broadcast, whatever the table.
+    """
+    sizes = df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    share = sizes.agg(F.sum("_n") / MOST_LISTED).scalar()
+    return sizes.filter(F.col("_n") > F.greatest(F.lit(float(hot_rows)), share))
+
+
+def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_n``: the row count of a large entity, NULL for the others. The list is broadcast, nothing shuffles."""
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return df.join(F.broadcast(hot_entities(df, keys, hot_rows)), match, "left").drop(*[f"_h{i}" for i in range(len(keys))])
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], time: str, span: float | None, hot_rows: int) -> DataFrame:
+    """Add the bucket number; one bucket for an entity that is not large."""
+    bucket = time_bucket(df, time, span)
+    if not keys:
+        return df.withColumn(BUCKET, bucket)
+    whole = F.lit(0).cast("bigint")
+    return mark_hot(df, keys, hot_rows).withColumn(BUCKET, F.when(F.col("_n").isNull(), whole).otherwise(bucket)).drop("_n")
+
+
 def time_bucket(df: DataFrame, time: str, span: float | None = None) -> Column:
     kind = df.schema[time].dataType
     if isinstance(kind, T.DateType):
@@ -53,7 +87,12 @@ def time_bucket(df: DataFrame, time: str, span: float | None = None) -> Column:
 
 
 def with_previous(
-    df: DataFrame, entity: str | Sequence[str], time: str, values: Sequence[str], span: float | None = None
+    df: DataFrame,
+    entity: str | Sequence[str],
+    time: str,
+    values: Sequence[str],
+    span: float | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``_previous`` (struct of the row before, NULL at the first row) and ``_start`` (first time).
 
@@ -69,7 +108,7 @@ def with_previous(
         return rows.withColumns({"_previous": before, START: F.first(time).over(order)}).withColumn(
             "_previous", F.when(F.col(f"_previous.{time}") == F.col(time), repeated).otherwise(F.col("_previous"))
         )
-    rows = rows.withColumn(BUCKET, time_bucket(df, time, span))
+    rows = with_bucket(rows, keys, time, span, hot_rows)
     edges = rows.groupBy(*keys, BUCKET).agg(
         *[F.max_by(v, time).alias(v) for v in values], F.min(time).alias(START)
     )
@@ -109,9 +148,10 @@ def deltas(
     measures: Mapping[str, str],
     exposure: str | None = None,
     span: float | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``{new column: cumulative column}`` per-step changes and, if named, the exposure day."""
-    rows = with_previous(df, entity, time, list(measures.values()), span)
+    rows = with_previous(df, entity, time, list(measures.values()), span, hot_rows)
     added = {new: change(level) for new, level in measures.items()}
     if exposure:
         added[exposure] = exposure_days(time)
@@ -124,7 +164,12 @@ def series_deltas(df: DataFrame, time: str, measures: Mapping[str, str], span: f
 
 
 def running_totals(
-    df: DataFrame, entity: str | Sequence[str], time: str, measures: Mapping[str, str], span: float | None = None
+    df: DataFrame,
+    entity: str | Sequence[str],
+    time: str,
+    measures: Mapping[str, str],
+    span: float | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``{new column: column}`` cumulative sums, the inverse of :func:`deltas`, cut the same way."""
     keys = entity_columns(entity)
@@ -132,7 +177,7 @@ def running_totals(
     if bounded_by_calendar(df, time, span):
         order = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumns({n: F.sum(m).over(order) for n, m in measures.items()})
-    rows = rows.withColumn(BUCKET, time_bucket(df, time, span))
+    rows = with_bucket(rows, keys, time, span, hot_rows)
     over_buckets = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*keys, BUCKET)

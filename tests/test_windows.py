@@ -29,9 +29,10 @@ EXPECTED = {
 }
 
 
+@pytest.mark.parametrize("hot_rows", [0, 2, 100])
 @pytest.mark.parametrize("span", [None, 1, 2, 3, 1000])
-def test_deltas_keep_first_level_and_missing(counts, span):
-    out = w.deltas(counts, "e", "t", {"dx": "x", "dy": "y"}, exposure="exposure", span=span)
+def test_deltas_keep_first_level_and_missing(counts, span, hot_rows):
+    out = w.deltas(counts, "e", "t", {"dx": "x", "dy": "y"}, exposure="exposure", span=span, hot_rows=hot_rows)
     assert as_set(out, "e", "t", "dx", "dy", "exposure") == EXPECTED
 
 
@@ -52,8 +53,9 @@ def test_running_total_inverts_deltas_with_a_hot_entity(spark, kind):
     }[kind]
     df = spark.createDataFrame(rows, "e string, i bigint, d bigint").withColumn("t", time)
     span = {"date": 100, "bigint": 500, "timestamp": None}[kind]
-    levels = w.running_totals(df, "e", "t", {"level": "d"}, span)
-    back = w.deltas(levels, "e", "t", {"again": "level"}, span=span)
+    assert as_set(w.hot_entities(df, ["e"], 1000), "_h0", "_n") == {("hot", 3000)}
+    levels = w.running_totals(df, "e", "t", {"level": "d"}, span, hot_rows=1000)
+    back = w.deltas(levels, "e", "t", {"again": "level"}, span=span, hot_rows=1000)
     assert back.count() == len(rows)
     assert back.filter("again <> d").count() == 0
     top = levels.groupBy("e").agg(F.max_by("level", "t").alias("last"))
