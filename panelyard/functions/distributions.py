@@ -7,7 +7,9 @@ from statistics import NormalDist
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
