@@ -1,4 +1,7 @@
-"""Run registered queries next to their SQL twins: ``python tools/compare.py <sf_dir> [name prefix ...]``."""
+"""Run registered queries next to their SQL twins: ``python tools/compare.py <sf_dir> [name prefix ...]``.
+
+``COMPARE_CONF="key=value key=value"`` adds Spark settings, e.g. to try the plans without any broadcast join.
+"""
 
 from __future__ import annotations
 
@@ -65,7 +68,8 @@ def main() -> int:
     sf_dir, prefixes = sys.argv[1], tuple(sys.argv[2:])
     spark = get_session(
         "compare", "local[8]", {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-                                "spark.ui.showConsoleProgress": "false"}
+                                "spark.ui.showConsoleProgress": "false",
+                                **dict(pair.split("=", 1) for pair in os.environ.get("COMPARE_CONF", "").split() if pair)}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
