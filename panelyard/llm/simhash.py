@@ -220,3 +220,15 @@ def near_duplicates(
     linked = stored(joined.join(least, "root").select("fp", "least"), "simhash-linked")
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: the row whose id is the component's, or the first
+    by hash among rows that share it or have none. Rows are told apart by a number given when they are stored."""
+    key = "_simhash_row"
+    numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(numbered, width, most, key, text_col)
+    ids = found.withColumnRenamed("doc_id", key).join(numbered.select(key, F.col(id_col).alias("id")), key)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(key).alias("row")))
+    kept = ids.groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias(key))
+    return numbered.join(kept, key, "left_semi").select(*(numbered[c] for c in docs.columns))
