@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality, secrets, shards, simhash, vectors
+from . import lm, mixing, passages, pieces, pii, quality, secrets, shards, simhash, vectors
 from .common import read, sha256_hex
 
 
@@ -77,11 +77,21 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that repeat across documents."""
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sixteen shards by their ids."""
     return shards.shard_rows(read(spark, sf_dir, "documents"), 16)
 
 
+def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the pair model of the training documents."""
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sentencepiece,
@@ -91,7 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_quality,
         op6_vectors,
         op7_secrets,
+        op8_passages,
         op9_shards,
+        op10_scores,
     ]
     return {f.__name__: f for f in found}
 
