@@ -33,9 +33,9 @@ class PairModel:
     """``prior``: weight of the single-word probability, in words. Sizes steer memory per task alone."""
 
     prior: float = 32.0
-    chunk_bytes: int = 24 << 20
+    chunk_bytes: int = 14 << 20
     words_per_part: int = 500_000
-    tokens_per_shard: int = 3_000_000
+    tokens_per_shard: int = 1_500_000
 
 
 def _pack(a: np.ndarray) -> bytes:
