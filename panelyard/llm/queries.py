@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lm, mixing, passages, pieces, pii, quality, secrets, shards, simhash, vectors
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return os.fspath(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def number_of(kind: str) -> Column:
+    """Base spans of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     coded = pieces.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -45,9 +50,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = read(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.train(docs))
-    counts = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
-    ]
+    counts = [number_of(kind) for kind in pii.KINDS]
     return found.select(
         "doc_id", *counts, sha256_hex(pii.joined(F.col("base"))).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
     )
@@ -66,9 +69,7 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS
-    ]
+    counts = [number_of(kind) for kind in secrets.KINDS]
     return found.select(
         "doc_id",
         *counts,

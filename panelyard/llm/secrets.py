@@ -156,7 +156,7 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
                 a["counts"],
                 lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"),
             )
-            hit = (i >= w) & (F.lit(math.log2(w)) - total / F.lit(float(w)) >= s["bits"])
+            hit = (i >= w) & (F.lit(math.log2(w)) - total / F.lit(float(w)) >= s["bits"] - 1e-9)
             return F.struct(
                 counts.alias("counts"),
                 total.alias("sum"),
@@ -178,9 +178,8 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
 
 
 def _entropy(text: Column, scan: EntropyScan) -> Column:
-    kept = _matches(text, CANDIDATE)
-    for pattern in scan.allow:
-        kept = F.filter(kept, lambda m, p=pattern: ~F.rlike(m["found"], F.lit(p)))
+    allowed = "|".join(f"(?:{p})" for p in scan.allow) or "(?!)"
+    kept = F.filter(_matches(text, CANDIDATE), lambda m: ~F.rlike(m["found"], F.lit(allowed)))
     hot = F.transform(kept, lambda m: F.struct(m["start"], _hot_stretch(m["found"], scan).alias("hot")))
     spans = F.transform(
         F.filter(hot, lambda h: h["hot"]["last"] > 0),
