@@ -384,12 +384,17 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def train(docs: DataFrame, how: Training | None = None, text_col: str = "text") -> Model:
-    """The field, from a bounded sample of the documents that hold a digit or an at sign. The sample is the rows with
-    the smallest hashes, so it does not depend on the order of rows."""
+    """The field, from a bounded sample of the documents that hold a digit or an at sign. The sample is the texts with
+    the smallest hashes, so it does not depend on the order of rows. Hashes are chosen first; only the sample's texts
+    reach the driver, each once."""
     how = how or Training()
-    marked = docs.select(F.col(text_col).alias("text")).where(F.rlike("text", F.lit("[0-9@]")) & (F.length("text") < 20000))
-    sample = marked.withColumn("hash", F.xxhash64("text")).orderBy("hash").limit(how.rows)
-    return fit([r["text"] for r in sample.select("text").collect()], how)
+    short = F.rlike("text", F.lit("[0-9@]")) & (F.length("text") < 20000)
+    marked = docs.select(F.col(text_col).alias("text")).where(short).withColumn("hash", F.xxhash64("text"))
+    hashes = [r["hash"] for r in marked.select("hash").distinct().orderBy("hash").limit(how.rows).collect()]
+    if not hashes:
+        return fit([], how)
+    sample = marked.where(F.col("hash") <= max(hashes)).groupBy("hash").agg(F.first("text").alias("text"))
+    return fit([r["text"] for r in sample.orderBy("hash").collect()], how)
 
 
 def find_personal_data(
