@@ -17,9 +17,10 @@ def category_order(x: ColumnOrName, levels: Sequence[str]) -> Column:
 
 
 def dummy_columns(df: DataFrame, column: str, levels: Sequence[object]) -> DataFrame:
-    """Treatment coding: one 0/1 column per level but the first; missing stays missing."""
+    """Treatment coding: one 0/1 column per level but the first; a missing or unlisted level is missing in all."""
+    listed = F.col(column).isin(*levels)
     added = {
-        f"{column}_{level}": F.when(F.col(column).isNotNull(), (F.col(column) == F.lit(level)).cast("int"))
+        f"{column}_{level}": F.when(listed, (F.col(column) == F.lit(level)).cast("int"))
         for level in levels[1:]
     }
     return df.withColumns(added)

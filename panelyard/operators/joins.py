@@ -71,10 +71,16 @@ def outer_merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def full_join(left: DataFrame, right: DataFrame, on: Keys) -> DataFrame:
-    """Full outer join with merged keys, for sides that may repeat a key (rows then multiply)."""
+    """Full outer join with merged keys, for sides that may repeat a key (rows then multiply). Missing keys match
+    each other, as in the other joins."""
     pairs = key_pairs(on)
-    right = right.withColumnsRenamed({r: l for l, r in pairs if l != r})
-    return left.join(right, [l for l, _ in pairs], "outer")
+    names = [l for l, _ in pairs]
+    right = right.withColumnsRenamed({r: f"_right_{l}" for l, r in pairs})
+    same = reduce(lambda a, b: a & b, [left[l].eqNullSafe(right[f"_right_{l}"]) for l in names])
+    joined = left.join(right, same, "outer")
+    merged = [F.coalesce(F.col(f"`{l}`"), F.col(f"`_right_{l}`")).alias(l) for l in names]
+    rest = [F.col(f"`{c}`") for c in [*left.columns, *right.columns] if c not in names and not c.startswith("_right_")]
+    return joined.select(*merged, *rest)
 
 
 def geo_join(features: DataFrame, metrics: DataFrame, name: str, entity: str, metric: str) -> DataFrame:

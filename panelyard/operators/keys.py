@@ -38,8 +38,10 @@ def recode(df: DataFrame, column: str, rules: Rules, into: str | None = None) ->
 def recode_from(
     df: DataFrame, column: str, mapping: DataFrame, source: str, target: str, into: str | None = None
 ) -> DataFrame:
-    """Recode through a mapping table with one row per source value."""
-    side = mapping.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
+    """Recode through a mapping table with one row per source value; a repeated one stops the job."""
+    side = mapping.groupBy(F.col(source).alias("_from")).agg(F.max(target).alias("_to"), F.count("*").alias("_n"))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.lit("recode_from: a source value repeats")).cast("boolean"))
+    side = side.filter(once.otherwise(True)).drop("_n")
     joined = df.join(side, F.col(column) == F.col("_from"), "left")
     return joined.withColumn(into or column, F.coalesce("_to", column)).drop("_from", "_to")
 

@@ -56,20 +56,39 @@ def to_long_multi(
     return df.select(*ids, F.inline(F.array(*rows)))
 
 
+def _one_row_per_cell(wide: DataFrame, counts: Sequence[str], other: str | None, label: str) -> DataFrame:
+    """Stop on a repeated cell or an unlisted name instead of losing values."""
+    repeated = F.greatest(*counts, F.lit(0), F.lit(0)) > 1
+    check = F.when(repeated, F.raise_error(F.lit(f"{label}: a cell occurs more than once")).cast("boolean"))
+    if other:
+        check = check.when(F.col(other) > 0, F.raise_error(F.lit(f"{label}: a name is not listed")).cast("boolean"))
+    return wide.filter(check.otherwise(True)).drop(*counts, *([other] if other else []))
+
+
 def to_wide(
-    df: DataFrame, ids: Sequence[str], names_from: str, names: Sequence[object], values: Sequence[str], glue: str = "{name}"
+    df: DataFrame,
+    ids: Sequence[str],
+    names_from: str,
+    names: Sequence[object],
+    values: Sequence[str],
+    glue: str = "{name}",
+    other: str = "error",
 ) -> DataFrame:
     """One column per listed name (and value column): ``glue`` may use ``{name}`` and ``{value}``.
 
-    The names are given, so no extra job looks for them. A cell that occurs more than once keeps its largest
-    value, which does not depend on row order.
+    The names are given, so no extra job looks for them. A row with another name stops the job, unless ``other`` is
+    ``"drop"``. A cell that occurs more than once stops it as well.
     """
     cells = [
         F.max(F.when(F.col(names_from) == F.lit(n), F.col(v))).alias(glue.format(name=n, value=v))
         for n in names
         for v in values
     ]
-    return df.groupBy(*ids).agg(*cells)
+    counts = [F.count_if(F.col(names_from) == F.lit(n)).alias(f"_n{i}") for i, n in enumerate(names)]
+    listed = F.coalesce(F.col(names_from).isin(*names), F.lit(False)) if names else F.lit(False)
+    wide = df.groupBy(*ids).agg(*cells, *counts, F.count_if(~listed).alias("_other"))
+    checked = _one_row_per_cell(wide, [f"_n{i}" for i in range(len(names))], "_other" if other == "error" else None, "to_wide")
+    return checked.drop("_other")
 
 
 def transpose_indicators(
@@ -82,12 +101,15 @@ def transpose_indicators(
     cast: str = "double",
 ) -> DataFrame:
     """Rows per (entity, indicator) with a column per year -> rows per (entity, year) with a column per
-    indicator. ``indicators`` may map long names to short ones."""
+    indicator. ``indicators`` picks indicators and may map long names to short ones; a picked one that occurs twice
+    for an entity stops the job."""
     short = indicators if isinstance(indicators, Mapping) else {i: i for i in indicators}
     long = to_long(df, [entity, indicator], list(years), year, "_value", cast=cast)
     long = long.withColumn(year, F.col(year).cast("int"))
     cells = [F.max(F.when(F.col(indicator) == F.lit(i), F.col("_value"))).alias(n) for i, n in short.items()]
-    return long.groupBy(entity, year).agg(*cells)
+    counts = [F.count_if(F.col(indicator) == F.lit(i)).alias(f"_n{k}") for k, i in enumerate(short)]
+    wide = long.groupBy(entity, year).agg(*cells, *counts)
+    return _one_row_per_cell(wide, [f"_n{k}" for k in range(len(short))], None, "transpose_indicators")
 
 
 def expand_periods(

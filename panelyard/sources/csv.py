@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv as _csv
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ def read_flat(
 ) -> DataFrame:
     """A file with a header line. ``{column: type}`` picks columns by their raw header and casts them
     tolerantly; without it every column is text. ``row_index`` drops a leading row-number column."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    # Headers are checked: of several files, one with other columns or another order stops the read.
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     df = reader.csv(_paths(paths))
@@ -43,26 +45,27 @@ def read_sheet(
 ) -> DataFrame:
     """A sheet exported as CSV with ``skip`` lines above the header line; all columns are text.
 
-    The driver looks at the first ``skip + 1`` lines only. The scan itself stays splittable: rows equal to one
-    of those lines are left out by value, not by position.
+    The driver looks at the first ``skip + 1`` lines only. The scan itself stays splittable: those lines are left
+    out by their position in the file, blank ones included, and no data row is compared with them.
     """
-    top = [r.value for r in spark.read.text(path).limit(skip + 1).collect()]
-    cells = [next(_csv.reader([line.lstrip("﻿")])) for line in top]
-    header = list(names or cells[skip])
-    width = len(header)
-    raw = [f"_c{i}" for i in range(width)]
-    reader = spark.read.option("header", False).schema(", ".join(f"{c} string" for c in raw))
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    df = reader.csv(path)
-    for line in cells:
-        padded = (line + [""] * width)[:width]
-        same = F.lit(True)
-        for c, cell in zip(raw[:4], padded[:4]):
-            text = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^﻿", "")
-            same = same & (text == F.lit("" if cell == null_value else cell))
-        df = df.filter(~same)
-    return df.toDF(*header)
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    header = list(names) if names else None
+    if header is None:
+        top = [r.value for r in spark.read.text(path).limit(skip + 1).collect()]
+        header = next(_csv.reader([top[skip].lstrip("\ufeff")]))
+    # Lines of a split are numbered without gaps, so the first line's number gives each position in the first split.
+    first = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_line").alias("_first"))
+    place = F.col("_line") - F.col("_first")
+    body = lines.join(first, "_file").filter(((F.col("_block") > 0) | (place > skip)) & (F.trim("value") != ""))
+    raw = [f"_c{i}" for i in range(len(header))]
+    options = {"nullValue": null_value} if null_value is not None else {}
+    parsed = F.from_csv("value", ", ".join(f"{c} string" for c in raw), options)
+    return body.select(parsed.alias("_row")).select(*[F.col(f"_row.{c}") for c in raw]).toDF(*header)
 
 
 def snapshot_paths(base: str, start: dt.date, end: dt.date, pattern: str = "%m-%d-%Y.csv") -> list[str]:
@@ -88,16 +91,44 @@ def read_snapshots(
     file_date: str = FILE_DATE,
     date_format: str = "MM-dd-yyyy",
 ) -> DataFrame:
-    """Dated files in one scan: the day comes from the file name and becomes a column.
+    """Dated files: the day comes from the file name and becomes a column.
 
-    ``columns`` picks raw headers with their types, ``renames`` brings one era's headers to the common names.
+    ``columns`` picks raw headers with their types, ``renames`` brings one era's headers to the common names. Each
+    file is read by its own header: files that share one are one scan, and a column that a file lacks is missing
+    there. A column that no file has stops the read.
     """
-    raw = spark.read.option("header", True).csv(_paths(paths))
-    picked = raw.select(
-        *[F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in columns.items()],
-        parse_mdy(F.regexp_extract(F.col("_metadata.file_path"), file_date, 1), date_format).alias(date),
+    groups = _files_by_header(spark, _paths(paths))
+    unknown = [c for c in columns if not any(c in header for header in groups)]
+    if unknown:
+        raise ValueError(f"no file has the columns {unknown}")
+    parts = []
+    for header, files in groups.items():
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        picked = [
+            (F.col(f"`{c}`").try_cast(kind) if c in header else F.lit(None).cast(kind)).alias(c)
+            for c, kind in columns.items()
+        ]
+        day = parse_mdy(F.regexp_extract(F.col("_metadata.file_path"), file_date, 1), date_format).alias(date)
+        parts.append(raw.select(*picked, day))
+    return stack_eras(parts).withColumnsRenamed(dict(renames or {}))
+
+
+def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files grouped by their header line; one row per file reaches the driver."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
     )
-    return picked.withColumnsRenamed(dict(renames or {}))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in first.orderBy("file").collect():
+        header = tuple(next(_csv.reader([r["header"].lstrip("\ufeff")])))
+        groups.setdefault(header, []).append(unquote(r["file"]))
+    if not groups:
+        raise ValueError("no file with a header line")
+    return groups
 
 
 def stack_eras(eras: Sequence[DataFrame]) -> DataFrame:

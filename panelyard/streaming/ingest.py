@@ -1,8 +1,8 @@
 """Incremental ingest of dated snapshot files.
 
 Every micro-batch is written to its own ``batch=<id>`` folder in overwrite mode, so a batch that is replayed
-after a failure replaces itself. Reading takes, per (entity, date), the row of the latest batch: a late or
-corrected file wins over what came before without touching old files.
+after a failure replaces itself. Reading takes, per (entity, date), the rows of the latest batch: a late or
+corrected delivery wins over what came before without touching old files.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from panelyard.sources.csv import FILE_DATE
 def stream_snapshots(
     spark: SparkSession, path: str, schema: str, date: str = "Date", file_date: str = FILE_DATE, glob: str | None = None
 ) -> DataFrame:
-    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time."""
+    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time. ``schema`` names
+    the columns by position, whatever the header line says, so all files of a stream must share one layout."""
     reader = spark.readStream.schema(schema).option("header", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -46,11 +47,11 @@ def start_ingest(snapshots: DataFrame, table: str, checkpoint: str) -> Streaming
 
 
 def read_latest(spark: SparkSession, table: str, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """The current panel: per key the values of its latest batch (latest file within a batch).
+    """The current panel: per key the sums over all rows of its latest batch.
 
-    Several rows of one file may share a key (sub-areas of an entity); they are summed before versions compete.
+    A batch is one delivery of a day: the day may lie in several files, and rows of one key (sub-areas of an entity)
+    are summed. A corrected delivery belongs into a later batch.
     """
     log = spark.read.option("basePath", table).parquet(table)
-    versions = log.groupBy(*keys, "batch", "_file_time").agg(*[F.sum(m).alias(m) for m in measures])
-    version = F.struct(F.col("batch"), F.col("_file_time"))
-    return versions.groupBy(*keys).agg(*[F.max_by(m, version).alias(m) for m in measures])
+    versions = log.groupBy(*keys, "batch").agg(*[F.sum(m).alias(m) for m in measures])
+    return versions.groupBy(*keys).agg(*[F.max_by(m, "batch").alias(m) for m in measures])

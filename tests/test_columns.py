@@ -54,7 +54,7 @@ def test_headers():
 def test_categories(spark):
     df = spark.createDataFrame([("b",), ("z",), (None,)], "x string")
     assert [r[0] for r in df.select(categories.category_order("x", ["a", "b"])).collect()] == [1, None, None]
-    assert as_set(categories.dummy_columns(df, "x", ["a", "b"]), "x", "x_b") == {("b", 1), ("z", 0), (None, None)}
+    assert as_set(categories.dummy_columns(df, "x", ["a", "b"]), "x", "x_b") == {("b", 1), ("z", None), (None, None)}
 
 
 def test_student_t_known_values():
