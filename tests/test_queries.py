@@ -1,4 +1,4 @@
-"""Every registered query next to its SQL twin at the smallest scale."""
+"""Every panel query next to its SQL twin at the smallest scale."""
 
 import os
 import sys
@@ -12,6 +12,8 @@ import compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
+from panelyard import plans  # noqa: E402
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -27,15 +29,16 @@ def test_entry_has_a_stable_schema(spark):
 
 def test_names_line_up():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(plans.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     status, _, _, note = compare.compare(spark, con, name, SF_DIR)
     assert status == "ok", note
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_query_without_sql_gives_rows(spark, con, name):
     status, rows, _, note = compare.compare(spark, con, name, SF_DIR)
     assert status == "rows only" and rows > 0, note
