@@ -8,6 +8,9 @@ from statistics import NormalDist
 import numpy as np
 
 
+NORMAL_FROM = 1e5
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.lgamma, otypes=[float])(x)
 
@@ -46,13 +49,20 @@ def incomplete_beta(a, b, x) -> np.ndarray:
 
 
 def t_two_sided(t, df) -> np.ndarray:
-    """Two-sided p-value of a t statistic; NaN where it has no degrees of freedom."""
+    """Two-sided p-value of a t statistic; NaN where it has no degrees of freedom. Above ``NORMAL_FROM`` degrees of
+    freedom through the normal distribution, corrected to the order of 1 / df."""
     t, df = np.broadcast_arrays(np.asarray(t, dtype=float), np.asarray(df, dtype=float))
     out = np.full(t.shape, np.nan)
     ok = (df > 0) & ~np.isnan(t)
-    if ok.any():
-        n, s = df[ok], np.square(t[ok])
-        out[ok] = incomplete_beta(n / 2, 0.5, n / (n + s))
+    many = ok & (df > NORMAL_FROM)
+    few = ok & ~many
+    if few.any():
+        n, s = df[few], np.square(t[few])
+        out[few] = incomplete_beta(n / 2, 0.5, n / (n + s))
+    if many.any():
+        n, x = df[many], t[many]
+        z = x * (1 - 1 / (4 * n)) / np.sqrt(1 + np.square(x) / (2 * n))
+        out[many] = [normal_two_sided(v) for v in z.tolist()]
     return out
 
 

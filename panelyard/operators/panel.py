@@ -147,10 +147,7 @@ def policy_panel(
     doses_key: tuple[str, str],
 ) -> DataFrame:
     """Panel joined to policy levels and vaccination totals on entity and date."""
-    known = policy.join(
-        panel.select(F.col(entity).alias(policy_key[0])).distinct(), policy_key[0], "left_semi"
-    )
-    joined = left_join(panel, known, {entity: policy_key[0], time: policy_key[1]}, null_keys=False)
+    joined = left_join(panel, policy, {entity: policy_key[0], time: policy_key[1]}, null_keys=False)
     return left_join(joined, doses, {entity: doses_key[0], time: doses_key[1]}, null_keys=False)
 
 

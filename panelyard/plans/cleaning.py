@@ -84,7 +84,7 @@ def category_header_sheet(spark, sf_dir):
     return wide.toDF(*category_headers(["Status 1"] + ["Lines (1)", "Quantity (2)"] * 3, _FLAGS, each=2))
 
 
-_PERIODS = {"1995-1997": (1995, 1997), "1998-2000": (1998, 2000)}
+_PERIODS = {"1995-1997": (1995, 1997), "1998-2001": (1998, 2001)}
 _PERIOD_SQL = ", ".join(
     f"CAST(coalesce(sum(orders) FILTER (WHERE year BETWEEN {a} AND {b}), 0) AS BIGINT) AS \"{b}\""
     for a, b in _PERIODS.values()

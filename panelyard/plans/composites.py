@@ -150,7 +150,7 @@ def assemble_covariates(spark, sf_dir):
     )
 
 
-_TYPES = ("view", "click", "purchase", "error")
+_TYPES = ("view", "click", "purchase", "error", "signup")
 
 
 @query(

@@ -11,7 +11,7 @@ from panelyard.models.glmm import fit_glmm
 from panelyard.models.lmm import fit_mixed
 from panelyard.models.store import load_model, save_model
 from panelyard.operators import panel as p
-from panelyard.operators import scale, windows
+from panelyard.operators import scale
 from panelyard.operators.aggregate import mean_squared_error
 from panelyard.plans.composites import exposed_panel
 from panelyard.plans.registry import query
@@ -124,14 +124,34 @@ def mixed_model(spark, sf_dir):
 
 
 def balanced(spark, sf_dir):
-    """The last 21 rows of every nation's panel: the same number of rows per nation."""
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 21, unique=True)
-    return rows.select("nation", "region", "day", "exposure", safe_log("placed").alias("y"))
+    """All lines as mean prices per customer nation, return flag and line number: 21 cells in every nation. Levels
+    differ by nation, and ``sloped`` changes with the line number at a rate that differs by region."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    cells = (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", "l_returnflag", (F.col("l_linenumber") - 4).alias("k"))
+        .agg((F.avg("l_extendedprice") / 10000 + F.col("c_nationkey") / 10).alias("y"))
+    )
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = cells.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    return named.select(
+        F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "k", "y",
+        (F.col("y") + F.col("n_regionkey") / 10 * F.col("k")).alias("sloped"),
+    )
 
 
 # Balanced one-way layout: REML equals the analysis-of-variance estimates.
-_BALANCED = f"""WITH {PANEL_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY nation ORDER BY exposure DESC) AS r FROM panel),
-  t AS (SELECT nation, region, ln(placed) AS y FROM k WHERE r <= 21),
+_BALANCED = f"""WITH {PANEL_SQL}, t AS (
+    SELECT n_name AS nation, r_name AS region, l_linenumber - 4 AS k, avg(l_extendedprice) / 10000 + n_nationkey / 10.0 AS y,
+           avg(l_extendedprice) / 10000 + n_nationkey / 10.0 + n_regionkey / 10.0 * (l_linenumber - 4) AS sloped
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    GROUP BY n_name, r_name, n_nationkey, n_regionkey, l_returnflag, l_linenumber),
   g AS (SELECT nation, avg(y) AS gy, count(*) AS n, var_pop(y) * count(*) AS ss FROM t GROUP BY 1),
   a AS (SELECT avg(gy) AS m, max(n) AS n, count(*) AS groups, sum(ss) / (sum(n) - count(*)) AS mse, max(n) * var_samp(gy) AS msb FROM g),
   v AS (SELECT *, (msb - mse) / n AS d FROM a)"""
@@ -146,6 +166,22 @@ def balanced_layout(spark, sf_dir):
     return model_summary(fit_mixed(balanced(spark, sf_dir), "y", [], "nation"))
 
 
+# Every nation has the same design, so its own least-squares line is all there is to know of it: the fixed effects
+# are the mean line, and the lines' sample covariance is that of the random effects and of the estimation together.
+_BALANCED_SLOPES = f"""{_BALANCED}, line AS (SELECT nation, regr_intercept(sloped, k) AS a, regr_slope(sloped, k) AS b,
+    regr_syy(sloped, k) - regr_sxy(sloped, k) * regr_sxy(sloped, k) / regr_sxx(sloped, k) AS rss, count(*) AS n, regr_sxx(sloped, k) AS sxx
+    FROM t GROUP BY 1),
+  s AS (SELECT avg(a) AS a, avg(b) AS b, sum(rss) / sum(n - 2) AS s2, var_samp(a) AS da, var_samp(b) AS db, max(n) AS n, max(sxx) AS sxx FROM line)
+  SELECT term, round(x, 5) AS estimate FROM (SELECT '(Intercept)' AS term, a AS x FROM s UNION ALL SELECT 'k', b FROM s
+    UNION ALL SELECT 'entity variance 0', da - s2 / n FROM s UNION ALL SELECT 'entity variance 1', db - s2 / sxx FROM s
+    UNION ALL SELECT 'residual variance', s2 FROM s)"""
+
+
+@query("m4_balanced_slopes", _BALANCED_SLOPES)
+def balanced_slopes(spark, sf_dir):
+    return model_summary(fit_mixed(balanced(spark, sf_dir), "sloped", ["k"], "nation", ["k"]))
+
+
 @query("m5_nested_mixed_model")
 def nested_mixed_model(spark, sf_dir):
     return model_summary(
@@ -175,7 +211,7 @@ def balanced_nested_layout(spark, sf_dir):
 
 @query("m5b_nested_new_counts")
 def nested_new_counts(spark, sf_dir):
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60, unique=True).withColumn("y", safe_log("new_placed"))
+    rows = exposed_panel(spark, sf_dir).withColumn("y", safe_log("new_placed"))
     return model_summary(fit_mixed(rows, "y", ["exposure"], "nation", ["exposure"], outer="region"))
 
 
@@ -263,7 +299,7 @@ def negative_binomial(spark, sf_dir):
 
 @query("m11_poisson")
 def poisson(spark, sf_dir):
-    rows = windows.recent_n(exposed_panel(spark, sf_dir), "nation", "exposure", 60, unique=True)
+    rows = exposed_panel(spark, sf_dir)
     return model_summary(fit_glmm(rows, "new_placed", ["exposure"], "nation", family="poisson"))
 
 

@@ -22,20 +22,18 @@ def to_long(spark, sf_dir):
 
 
 def coverage_sheet(spark, sf_dir):
-    """One row per nation and a column ``orders_<year>`` per year, empty where the year is thin."""
-    rows = yearly_orders(spark, sf_dir).filter(F.col("orders") % 3 != 0)
+    """One row per nation and a column ``orders_<year>`` per year, empty where a third of the counts is missing."""
+    rows = yearly_orders(spark, sf_dir).withColumn("orders", F.when(F.col("orders") % 3 != 0, F.col("orders")))
     return reshape.to_wide(rows, ["nation"], "year", YEARS, ["orders"], "orders_{name}")
 
 
 @query(
     "r2_to_long_prefixed",
-    f"WITH {YEARLY_SQL} SELECT nation, CAST(year AS VARCHAR) AS year, orders FROM yearly WHERE orders % 3 <> 0",
+    f"""WITH {YEARLY_SQL} SELECT nation, CAST(year AS VARCHAR) AS year, CASE WHEN orders % 3 <> 0 THEN orders END AS orders FROM yearly""",
 )
 def to_long_prefixed(spark, sf_dir):
     sheet = coverage_sheet(spark, sf_dir)
-    return reshape.to_long(
-        sheet, ["nation"], sheet.columns[1:], "year", "orders", names_prefix="orders_", drop_missing=True
-    )
+    return reshape.to_long(sheet, ["nation"], sheet.columns[1:], "year", "orders", names_prefix="orders_")
 
 
 @query("r3_to_long_multi", f"WITH {YEARLY_SQL} SELECT nation, year, orders, value FROM yearly")

@@ -218,3 +218,11 @@ def test_predictive_regression(spark):
     sd = np.sqrt(s2 * (1 + at @ np.linalg.inv(design.T @ design) @ at))
     assert out["est"] == pytest.approx(at @ beta, rel=1e-9) and out["sd"] == pytest.approx(sd, rel=1e-7)
     assert out["upper"] - out["lower"] == pytest.approx(4 * sd, rel=1e-7)
+
+
+def test_p_values_at_many_degrees_of_freedom_meet_the_normal_limit():
+    from panelyard.functions.distributions import NORMAL_FROM, normal_two_sided, t_two_sided
+
+    for t in (0.0, 0.5, 1.96, 3.0, 6.0):
+        assert abs(float(t_two_sided(t, 1e12)) - normal_two_sided(t)) < 1e-9
+        assert abs(float(t_two_sided(t, NORMAL_FROM)) - float(t_two_sided(t, NORMAL_FROM + 1))) < 1e-9
