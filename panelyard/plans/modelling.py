@@ -326,14 +326,14 @@ def predict_unseen(spark, sf_dir):
 @query(
     "m13_fitted_and_residuals",
     f"""{_BALANCED}, e AS (SELECT t.nation, t.y, m + d * g.n / (d * g.n + mse) * (gy - m) AS f FROM t JOIN g USING (nation), (SELECT m, d, mse FROM v))
-        SELECT nation, count(*) AS n, round(max(f), 6) AS fitted, round(sum((y - f) * (y - f)), 6) AS rss FROM e GROUP BY 1""",
+        SELECT nation, count(*) AS n, round(max(f), 6) AS fitted, round(sum((y - f) * (y - f)), 4) AS rss FROM e GROUP BY 1""",
 )
 def fitted_and_residuals(spark, sf_dir):
     rows = balanced(spark, sf_dir)
     out = predict.residuals(fit_mixed(rows, "y", [], "nation"), rows)
     return out.groupBy("nation").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.max("fitted"), 6).alias("fitted"),
-        F.round(F.sum(F.col("residual") * F.col("residual")), 6).alias("rss"),
+        F.round(F.sum(F.col("residual") * F.col("residual")), 4).alias("rss"),
     )
 
 

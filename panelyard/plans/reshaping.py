@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelyard.models.ols import grouped_regression
 from panelyard.operators import reshape
 from panelyard.plans.registry import query
-from panelyard.plans.tables import YEARLY_SQL, YEARS, rounded, table, yearly_orders
+from panelyard.plans.tables import SHEET_SQL, YEARLY_SQL, YEARS, rounded, table, yearly_orders
 
 _LONG = " UNION ALL ".join(
     f"SELECT p_partkey, '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM part" for c in ("p_size", "p_retailprice")
@@ -29,7 +29,7 @@ def coverage_sheet(spark, sf_dir):
 
 @query(
     "r2_to_long_prefixed",
-    f"""WITH {YEARLY_SQL} SELECT nation, CAST(year AS VARCHAR) AS year, CASE WHEN orders % 3 <> 0 THEN orders END AS orders FROM yearly""",
+    f"WITH {SHEET_SQL} SELECT nation, CAST(year AS VARCHAR) AS year, orders FROM sheet",
 )
 def to_long_prefixed(spark, sf_dir):
     sheet = coverage_sheet(spark, sf_dir)

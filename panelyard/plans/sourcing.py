@@ -11,7 +11,7 @@ from panelyard.operators import clean, keys, reshape
 from panelyard.plans.registry import query
 from panelyard.plans.tables import (
     PANEL_SQL,
-    YEARLY_SQL,
+    SHEET_SQL,
     YEARS,
     order_panel,
     rounded,
@@ -126,8 +126,7 @@ def coverage_sheet(spark, sf_dir):
     return wide.withColumnRenamed("nation", "Country")
 
 
-_SHEET = f"""WITH {YEARLY_SQL} SELECT nation AS "Country", year AS "Year", CASE WHEN orders % 3 <> 0 THEN orders END AS pct
-             FROM yearly"""
+_SHEET = f'WITH {SHEET_SQL} SELECT nation AS "Country", year AS "Year", orders AS pct FROM sheet'
 
 
 def sheet_to_long(sheet):

@@ -152,6 +152,15 @@ yearly AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
   GROUP BY 1, 2, 3)"""
 
+# A sheet has a cell for every nation and year, an empty one where a third of the counts is not reported.
+SHEET_SQL = (
+    YEARLY_SQL
+    + """,
+sheet AS (
+  SELECT nation, CAST(year AS INTEGER) AS year, CASE WHEN orders % 3 <> 0 THEN orders END AS orders
+  FROM (SELECT DISTINCT nation FROM yearly) CROSS JOIN (SELECT unnest(range(1995, 2002)) AS year) LEFT JOIN yearly USING (nation, year))"""
+)
+
 
 def user_days_sql(event_type: str, name: str) -> str:
     return f"""
