@@ -24,10 +24,10 @@ from .graph import components, merge_labels
 
 @dataclass(frozen=True)
 class Tiling:
-    """``block``: vectors in a block. ``pivots``: most pivots, a bounded sample; they steer the work alone, as any
+    """``block``: vectors in a block; a vector travels once for each block it may have links in. ``pivots``: most pivots, a bounded sample; they steer the work alone, as any
     set of pivots gives all pairs."""
 
-    block: int = 2048
+    block: int = 8192
     pivots: int = 64
 
 
@@ -57,8 +57,12 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, error
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with a cosine of at least ``least`` between unit rows of ``left`` and ``right``.
+#: Rows of a product at a time: bounds the memory of a tile, whose blocks are larger.
+PRODUCT_ROWS = 1024
+
+
+def tile_links(left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) with a cosine of at least ``least`` between unit rows of ``left`` and ``right``, in parts.
 
     With x = q + e, |x.y - q.r| <= |q||f| + |e||y|: the product of the codes is exact (integers below 2^24 in single
     precision for up to 1,000 components, doubles beyond), so pairs below the threshold by more than this bound are
@@ -66,16 +70,18 @@ def tile_links(left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.nd
     """
     kind = np.float32 if left.shape[1] <= 1000 else np.float64
     (a, sa, ea), (b, sb, eb) = quantised(left), quantised(right)
-    product = a.astype(kind) @ b.astype(kind).T
     norm = np.sqrt((a.astype(np.float64) ** 2).sum(axis=1)) * sa
     slack = 1e-6  # of the scaling of the exact product in single precision
-    lowest = (least - slack - ea)[:, None] - norm[:, None] * eb[None, :]
-    i, j = np.nonzero(product >= (lowest / sa[:, None] / sb[None, :]).astype(kind))
-    keep = [np.empty(0, bool)]
-    for k in range(0, len(i), 1 << 18):
-        keep.append((left[i[k : k + (1 << 18)]] * right[j[k : k + (1 << 18)]]).sum(axis=1) >= least)
-    sure = np.concatenate(keep)
-    return i[sure], j[sure]
+    for r in range(0, len(left), PRODUCT_ROWS):
+        for c in range(0, len(right), PRODUCT_ROWS):
+            rows, columns = slice(r, r + PRODUCT_ROWS), slice(c, c + PRODUCT_ROWS)
+            lowest = (least - slack - ea[rows])[:, None] - norm[rows, None] * eb[None, columns]
+            product = a[rows].astype(kind) @ b[columns].astype(kind).T
+            i, j = np.nonzero(product >= (lowest / sa[rows, None] / sb[None, columns]).astype(kind))
+            for k in range(0, len(i), 1 << 16):
+                at, to = i[k : k + (1 << 16)] + r, j[k : k + (1 << 16)] + c
+                sure = (left[at] * right[to]).sum(axis=1) >= least
+                yield at[sure], to[sure]
 
 
 def _cells(pivots: np.ndarray):
@@ -126,16 +132,15 @@ def _tiles(least: float):
     def tile(block: np.ndarray, ids: np.ndarray, n: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
         first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
         links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        if block.min() != block.max():
-            i, j = tile_links(unit[first], unit[second], least)
+        apart = block.min() != block.max()
+        for i, j in tile_links(unit[first], unit[second], least):
             i, j = first[i], second[j]
-        else:
-            i, j = tile_links(unit, unit, least)
-            once = i < j
-            i, j = i[once], j[once]
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
-        merge_labels(labels, i, j)
+            if not apart:  # each pair once
+                once = i < j
+                i, j = i[once], j[once]
+            np.add.at(links, i, n[j])
+            np.add.at(links, j, n[i])
+            merge_labels(labels, i, j)
         hit = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[hit]), pa.array(links[hit]), pa.array(ids[labels[hit]])], ["class_id", "links", "root"]
