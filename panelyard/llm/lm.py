@@ -12,7 +12,6 @@ Smoothing has a Dirichlet prior: P(w | v) = (c(v w) + m P(w)) / (c(v) + m) with
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,10 +215,8 @@ def _answers(model: PairModel, trained: int, known: int):
         total = total[total > 0]
         single = (word_total[order][at] + 1.0) / (trained + known + 1.0)
         logs = np.log10((total + model.prior * single) / (context_total[order][at] + model.prior))
-        with tempfile.TemporaryDirectory() as folder:
-            trie = PairTrie(context[at], word[at], quantise(logs), folder)
-            codes = [_pack(trie.lookup(c[0], c[1])) for c in lists]
-            del trie
+        trie = PairTrie(context[at], word[at], quantise(logs))
+        codes = [_pack(trie.lookup(c[0], c[1])) for c in lists]
         return pa.RecordBatch.from_arrays(
             [pa.array([r["chunk"] for r in asked], pa.int64()), pa.array([r["shard"] for r in asked], pa.int64()), pa.array(codes, pa.binary())],
             ["chunk", "shard", "codes"],

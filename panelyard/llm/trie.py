@@ -1,6 +1,7 @@
 """A two-level n-gram trie in Elias-Fano code: word pairs by context, with quantised log probabilities.
 
-Levels are plain arrays in files that are memory-mapped. A monotone sequence keeps the low bits of each value packed
+Levels are plain arrays in anonymous memory maps: pages outside the process's heap that go back to the system with
+the trie, and no files in a local folder. A monotone sequence keeps the low bits of each value packed
 and the high bits in unary, about two bits and the low part per value. Contexts, the pointers to where their
 successors begin, and the successors are such sequences. Successors are stored relative to their context: each is
 added to the last value of the context before, so the whole level is monotone, and a lookup is a search for one value
@@ -9,7 +10,7 @@ between two pointers.
 
 from __future__ import annotations
 
-import os
+import mmap
 
 import numpy as np
 
@@ -27,6 +28,17 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
     return (codes.astype(np.float64) - 1) * -STEP
 
 
+def mapped(a: np.ndarray) -> np.ndarray:
+    """A read-only copy in a memory map of its own."""
+    if not a.nbytes:
+        return a
+    pages = mmap.mmap(-1, a.nbytes)
+    out = np.frombuffer(pages, a.dtype)
+    out[:] = a
+    out.flags.writeable = False
+    return out
+
+
 class EliasFano:
     """A strictly or weakly monotone sequence of unsigned integers with random access and search."""
 
@@ -34,7 +46,7 @@ class EliasFano:
         self.low, self.high, self.ones, self.n, self.width = low, high, ones, n, width
 
     @classmethod
-    def write(cls, values: np.ndarray, folder: str, name: str) -> EliasFano:
+    def write(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         width = max(0, (top // max(n, 1)).bit_length() - 1) if n else 0
@@ -50,12 +62,7 @@ class EliasFano:
         high = np.zeros((int(place[-1]) if n else 0) // 64 + 1, U64)
         np.bitwise_or.at(high, place >> 6, U64(1) << (place & 63).astype(U64))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
-        arrays = []
-        for kind, a in (("low", low), ("high", high), ("ones", ones)):
-            path = os.path.join(folder, f"{name}.{kind}.npy")
-            np.save(path, a)
-            arrays.append(np.load(path, mmap_mode="r"))
-        return cls(*arrays, n, width)
+        return cls(mapped(low), mapped(high), mapped(ones), n, width)
 
     def _select(self, rank: np.ndarray, ones: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the bit with this rank among ones (or zeros): a word by its directory, then by halving."""
@@ -121,19 +128,17 @@ class EliasFano:
 class PairTrie:
     """Contexts, pointers, successors, codes."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, codes: np.ndarray, folder: str):
+    def __init__(self, context: np.ndarray, word: np.ndarray, codes: np.ndarray):
         """From pairs sorted by context and word, without repeats."""
         begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.empty(0, np.int64)
         ends = np.r_[begin[1:], len(context)].astype(np.int64)[: len(begin)]
         # Each context's values start behind the last one of the context before it.
         base = np.cumsum(np.r_[0, word[ends - 1].astype(np.int64) + 1])[:-1] if len(begin) else np.empty(0, np.int64)
         relative = word + np.repeat(base.astype(U64), ends - begin)
-        self.contexts = EliasFano.write(context[begin], folder, "contexts")
-        self.pointers = EliasFano.write(np.r_[begin, len(context)].astype(U64), folder, "pointers")
-        self.successors = EliasFano.write(relative, folder, "successors")
-        path = os.path.join(folder, "codes.npy")
-        np.save(path, codes)
-        self.codes = np.load(path, mmap_mode="r")
+        self.contexts = EliasFano.write(context[begin])
+        self.pointers = EliasFano.write(np.r_[begin, len(context)].astype(U64))
+        self.successors = EliasFano.write(relative)
+        self.codes = mapped(codes)
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of pairs sorted by context; 0 where a pair is absent."""
