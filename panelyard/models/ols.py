@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import RFormula
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import RFormula, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ COEFFICIENTS = "term string, estimate double, std_error double, statistic double
 def coefficient_frame(spark, names, estimates, errors, statistics, p_values) -> DataFrame:
     """Coefficient table with bounds two standard errors away."""
     rows = [
-        (n, float(b), float(s), float(t), float(p), float(b - 2 * s), float(b + 2 * s))
+        (n, *[None] * 6) if b is None else (n, float(b), float(s), float(t), float(p), float(b - 2 * s), float(b + 2 * s))
         for n, b, s, t, p in zip(names, estimates, errors, statistics, p_values)
     ]
     return spark.createDataFrame(rows, COEFFICIENTS)
@@ -47,26 +49,54 @@ class LinearFit:
     def score(self, df: DataFrame, into: str = "fitted") -> DataFrame:
         """Fitted values next to the rows they belong to."""
         rows = self.formula_model.transform(df)
-        drop = [c for c in ("_features", "_label") if c in rows.columns]
+        drop = [c for c in ("_features", "_kept", "_label") if c in rows.columns]
         return self.model.transform(rows).withColumnRenamed("prediction", into).drop(*drop)
 
 
+def _identified(rows: DataFrame, width: int) -> list[int]:
+    """Features that vary and are no combination of earlier ones, from one pass for their covariances."""
+    array = vector_to_array("_features")
+    x = [array[i] for i in range(width)]
+    pairs = [F.covar_pop(x[i], x[j]) for i in range(width) for j in range(i, width)]
+    row = rows.agg(F.array(*pairs).alias("c"), F.array(*[F.avg(c) for c in x]).alias("m")).first()
+    if None in row["m"]:
+        return list(range(width))
+    cov = unpack(np.array([row["c"]]), width)[0]
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    varies = sd > 1e-12 * np.maximum(np.abs(row["m"]), 1.0)
+    scale = np.where(varies, sd, 1.0)
+    scaled = np.where(varies[:, None] & varies[None, :], cov / np.outer(scale, scale), 0.0)
+    return np.flatnonzero(sweep(scaled[None], width)[1][0]).tolist()
+
+
 def linear_regression(df: DataFrame, formula: str) -> LinearFit:
     """Ordinary least squares by formula; ``a:b`` interactions and text columns (dummy coded) are allowed.
 
     Eager: the normal equations are summed over the cluster and solved once. Rows with a missing value are
-    left out.
+    left out. Terms that are constant or a combination of earlier ones come out NULL and the others are fitted.
     """
     prepared = RFormula(formula=formula, featuresCol="_features", labelCol="_label", handleInvalid="skip").fit(df)
     rows = prepared.transform(df)
+    names = _feature_names(rows, "_features")
+    kept, features = _identified(rows, len(names)), "_features"
+    if not kept:
+        raise ValueError("no term of the formula varies")
+    if len(kept) < len(names):
+        features = "_kept"
+        prepared = PipelineModel([prepared, VectorSlicer(inputCol="_features", outputCol=features, indices=kept)])
+        rows = prepared.transform(df)
     model = LinearRegression(
-        featuresCol="_features", labelCol="_label", solver="normal", regParam=0.0, standardization=True
-    ).fit(rows.select("_features", "_label"))
-    names = _feature_names(rows, "_features") + [d.INTERCEPT]
+        featuresCol=features, labelCol="_label", solver="normal", regParam=0.0, standardization=True
+    ).fit(rows.select(features, "_label"))
+
+    def placed(values):
+        found = dict(zip([*kept, len(names)], values))
+        return [found.get(i) for i in range(len(names) + 1)]
+
     s = model.summary
     table = coefficient_frame(
-        df.sparkSession, names, [*model.coefficients, model.intercept],
-        s.coefficientStandardErrors, s.tValues, s.pValues,
+        df.sparkSession, [*names, d.INTERCEPT], placed([*model.coefficients, model.intercept]),
+        placed(s.coefficientStandardErrors), placed(s.tValues), placed(s.pValues),
     )
     return LinearFit(table, prepared, model)
 
@@ -217,10 +247,12 @@ class PredictiveFit:
     covariance: np.ndarray
     s2: float
     n: int
+    kept: list[int]
 
     def score(self, df: DataFrame, est: str = "est", sd: str = "sd") -> DataFrame:
         """Predictive mean and sd, sqrt(s2 * (1 + x'(X'X)^-1 x)), as plain column arithmetic."""
-        x = d.scaled_terms(self.terms, self.scales)
+        every = d.scaled_terms(self.terms, self.scales)
+        x = [every[i] for i in self.kept]
         mean = sum((F.lit(float(b)) * c for b, c in zip(self.beta, x)), F.lit(0.0))
         root = np.linalg.cholesky(self.covariance)
         spread = F.lit(self.s2)
@@ -232,7 +264,8 @@ class PredictiveFit:
 
 
 def predictive_regression(df: DataFrame, response: str, terms: Sequence[str]) -> PredictiveFit:
-    """Eager: two aggregates over the frame, a p x p solve on the driver."""
+    """Eager: two aggregates over the frame, a p x p solve on the driver. Terms that are constant or a combination of
+    earlier ones are left out; ``kept`` numbers the others, the intercept as 0."""
     terms = d.order_terms(terms)
     base = sorted({p.strip() for t in terms for p in t.split(":")} | {response})
     rows = df.select(*[F.col(f"`{c}`") for c in base]).na.drop("any")
@@ -241,9 +274,10 @@ def predictive_regression(df: DataFrame, response: str, terms: Sequence[str]) ->
     x = d.scaled_terms(terms, scales)
     packed = rows.agg(d.packed_products([*x, (y - F.lit(scales.y_shift)) / F.lit(scales.y_scale)]).alias("s")).first()["s"]
     cross = unpack(np.array([packed]), len(x) + 1)[0]
-    xx, xy, yy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
+    kept = np.flatnonzero(sweep(cross[None], len(x))[1][0])
+    xx, xy, yy = cross[np.ix_(kept, kept)], cross[kept, -1], cross[-1, -1]
     inverse = np.linalg.inv(xx)
     beta = inverse @ xy
-    n = int(round(xx[0, 0]))
-    s2 = float((yy - beta @ xy) / (n - len(x)))
-    return PredictiveFit(terms, scales, beta, inverse * s2, s2, n)
+    n = int(round(cross[0, 0]))
+    s2 = float((yy - beta @ xy) / (n - len(kept)))
+    return PredictiveFit(terms, scales, beta, inverse * s2, s2, n, kept.tolist())

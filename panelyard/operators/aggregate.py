@@ -112,7 +112,7 @@ def histogram(
     """Counts in equal-width bins from the smallest to the largest finite value.
 
     Facets share the edges unless ``own_range`` is set. Bins are numbered from 1 and the last one is closed.
-    Only non-empty bins are returned.
+    Empty bins are returned with a count of 0; a range without width is a single bin.
     """
     x = F.col(value).cast("double")
     finite = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
@@ -130,15 +130,18 @@ def histogram(
     place = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor(F.try_divide(x - F.col("_lo"), width)) + 1, F.lit(bins))
     )
-    return (
+    counted = (
         ranged.select(*facets, "_lo", width.alias("_w"), place.cast("int").alias("bin"))
         .groupBy(*facets, "bin", "_lo", "_w")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *facets,
-            "bin",
-            (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("lower"),
-            (F.col("_lo") + F.col("bin") * F.col("_w")).alias("upper"),
-            "n",
-        )
+    )
+    # At most ``bins`` entries per facet.
+    filled = counted.groupBy(*facets, "_lo", "_w").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"))
+    last = F.when(F.col("_w") == 0, F.lit(1)).otherwise(F.lit(bins))
+    return filled.withColumn("bin", F.explode(F.sequence(F.lit(1), last))).select(
+        *facets,
+        "bin",
+        (F.col("_lo") + (F.col("bin") - 1) * F.col("_w")).alias("lower"),
+        (F.col("_lo") + F.col("bin") * F.col("_w")).alias("upper"),
+        F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).cast("long").alias("n"),
     )

@@ -125,8 +125,11 @@ def distinct_rows(spark, sf_dir):
 
 
 _HISTOGRAM = """WITH e AS (SELECT min({v}) AS lo, max({v}) AS hi FROM {t}),
-  b AS (SELECT {f} {v}, least(CAST(floor(({v} - lo) / ((hi - lo) / {n})) AS INTEGER) + 1, {n}) AS bin, lo, (hi - lo) / {n} AS w FROM {t}, e)
-  SELECT {f} bin, round(lo + (bin - 1) * w, 6) AS lower, round(lo + bin * w, 6) AS upper, count(*) AS n FROM b GROUP BY ALL"""
+  b AS (SELECT {f} {v}, least(CAST(floor(({v} - lo) / ((hi - lo) / {n})) AS INTEGER) + 1, {n}) AS bin FROM {t}, e),
+  c AS (SELECT {f} bin, count(*) AS n FROM b GROUP BY ALL),
+  g AS (SELECT {f} CAST(i AS INTEGER) AS bin FROM (SELECT DISTINCT {f} 0 AS z FROM {t}), range(1, {n} + 1) s(i))
+  SELECT {f} bin, round(lo + (bin - 1) * ((hi - lo) / {n}), 6) AS lower, round(lo + bin * ((hi - lo) / {n}), 6) AS upper,
+    coalesce(c.n, 0) AS n FROM (g LEFT JOIN c USING ({f} bin)) CROSS JOIN e"""
 
 
 @query("a11_histogram", _HISTOGRAM.format(t="orders", v="o_totalprice", f="", n=30))

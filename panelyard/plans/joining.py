@@ -126,14 +126,18 @@ def scores_on_rows(spark, sf_dir):
 @query(
     "j10_geo_join",
     """WITH places AS (SELECT n_name AS place, count(*) AS population FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
-       SELECT n_name AS name, 'Polygon' AS geometry_type, CAST(population AS DOUBLE) AS value, 'population' AS metric
+       SELECT n_name AS name, 'Point' AS geometry_type, '[' || n_nationkey || ',0]' AS coordinates,
+         '{"name":"' || n_name || '"}' AS properties, CAST(population AS DOUBLE) AS value, 'population' AS metric
        FROM nation LEFT JOIN places ON n_name = place""",
 )
 def geo_join(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     # One feature collection per nation, in the shape a geo file has after parsing.
     feature = F.struct(
-        F.struct(F.col("n_name").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type")).alias("geometry")
+        F.to_json(F.struct(F.col("n_name").alias("name"))).alias("properties"),
+        F.struct(
+            F.lit("Point").alias("type"), F.format_string("[%d,0]", F.col("n_nationkey")).alias("coordinates")
+        ).alias("geometry"),
     )
     features = explode_features(nation.select(F.array(feature).alias("features")))
     # A small table lacks suppliers in some nations; their features keep an empty value.

@@ -163,11 +163,19 @@ def landed_feed(spark, sf_dir):
     return feed.select("location", text_date("date"), "total")
 
 
-@query("s9_geo_features", "SELECT n_name AS name, 'Polygon' AS geometry_type FROM nation")
+@query(
+    "s9_geo_features",
+    """SELECT n_name AS name, 'Polygon' AS geometry_type,
+         format('[[[{0},0],[{1},0],[{1},1],[{0},0]]]', n_nationkey, n_nationkey + 1) AS coordinates,
+         '{"name":"' || n_name || '","id":' || n_nationkey || '}' AS properties FROM nation""",
+)
 def geo_features(spark, sf_dir):
+    west = F.col("n_nationkey").cast("long")
+    corners = [(west, 0), (west + 1, 0), (west + 1, 1), (west, 0)]
+    ring = F.array(*[F.array(x, F.lit(y).cast("long")) for x, y in corners])
     feature = F.struct(
         F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type")).alias("geometry"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
     )
     documents = table(spark, sf_dir, "nation").select(
         F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")

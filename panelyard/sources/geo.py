@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GEO_SCHEMA = "features array<struct<properties: struct<name: string>, geometry: struct<type: string>>>"
+#: Text fields take whole JSON values: all properties, and coordinates of any depth.
+GEO_SCHEMA = "features array<struct<properties: string, geometry: struct<type: string, coordinates: string>>>"
 
 
 def read_features(spark: SparkSession, path: str, schema: str = GEO_SCHEMA, multi_line: bool = True) -> DataFrame:
@@ -15,6 +16,10 @@ def read_features(spark: SparkSession, path: str, schema: str = GEO_SCHEMA, mult
 
 
 def explode_features(collections: DataFrame) -> DataFrame:
+    """name, geometry_type, coordinates and properties of each feature; the last two as JSON text."""
     return collections.select(F.explode("features").alias("f")).select(
-        F.col("f.properties.name").alias("name"), F.col("f.geometry.type").alias("geometry_type")
+        F.get_json_object("f.properties", "$.name").alias("name"),
+        F.col("f.geometry.type").alias("geometry_type"),
+        F.col("f.geometry.coordinates").alias("coordinates"),
+        F.col("f.properties").alias("properties"),
     )

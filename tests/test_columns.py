@@ -134,3 +134,10 @@ def test_scaling(spark):
     assert as_set(scale.centre(df, {"k": ("x", 10)}), "k") == {(-10.0,), (10.0,), (None,)}
     assert as_set(scale.offset_from(df, "y", "o"), "o") == {(0,), (2,), (1,)}
     assert as_set(scale.offset_from(df, "y", "o", 2000), "o") == {(1,), (3,), (2,)}
+
+
+def test_histogram_has_its_empty_bins(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 1.0)], "f string, x double")
+    assert [r.n for r in aggregate.histogram(df, "x", 5).orderBy("bin").collect()] == [2, 0, 0, 0, 1]
+    faceted = aggregate.histogram(df, "x", 5, ["f"]).orderBy("f", "bin").collect()
+    assert [r.n for r in faceted] == [1, 0, 0, 0, 1, 1, 0, 0, 0, 0]

@@ -226,3 +226,24 @@ def test_p_values_at_many_degrees_of_freedom_meet_the_normal_limit():
     for t in (0.0, 0.5, 1.96, 3.0, 6.0):
         assert abs(float(t_two_sided(t, 1e12)) - normal_two_sided(t)) < 1e-9
         assert abs(float(t_two_sided(t, NORMAL_FROM)) - float(t_two_sided(t, NORMAL_FROM + 1))) < 1e-9
+
+
+def test_aliased_and_constant_terms(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(v), 2.0 * float(v), 7.0, 1.0 + 3.0 * float(v) + float(e)) for v, e in rng.normal(size=(60, 2))]
+    df = spark.createDataFrame(rows, "x double, twice double, flat double, y double")
+    plain = {r.term: r for r in ols.linear_regression(df, "y ~ x").coefficients.collect()}
+    fit = ols.linear_regression(df, "y ~ flat + x + twice")
+    full = {r.term: r for r in fit.coefficients.collect()}
+    assert full["twice"].estimate is None and full["flat"].p_value is None
+    for term in plain:
+        np.testing.assert_allclose(
+            [full[term].estimate, full[term].std_error], [plain[term].estimate, plain[term].std_error], rtol=1e-8
+        )
+    fitted = fit.score(df).first()
+    np.testing.assert_allclose(fitted["fitted"], full["(Intercept)"].estimate + full["x"].estimate * fitted["x"], rtol=1e-8)
+    assert fit.score(df).columns == [*df.columns, "fitted"]
+    one = ols.predictive_regression(df, "y", ["x"]).score(df).orderBy("x").collect()
+    more = ols.predictive_regression(df, "y", ["flat", "x", "twice"]).score(df).orderBy("x").collect()
+    np.testing.assert_allclose([r.est for r in more], [r.est for r in one], rtol=1e-8)
+    np.testing.assert_allclose([r.sd for r in more], [r.sd for r in one], rtol=1e-8)
