@@ -26,6 +26,8 @@ from .textstats import counts
 FEATURES = {"word_length": 0.03, "symbols": 0.03, "capitals": 0.02, "variety": 0.006}
 X = list(FEATURES)
 FLOORS = np.array(list(FEATURES.values()))
+#: Standard deviations that an estimate from few rows is drawn towards.
+PRIOR = np.array([0.08, 0.08, 0.05, 0.03])
 PRODUCTS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Cells of distance for each doubling of the squared distance, and their range.
@@ -34,8 +36,8 @@ CELLS, LOWEST, HIGHEST = 16, -160, 640
 
 @dataclass(frozen=True)
 class Rules:
-    """``least_rows``: rows that a group needs for an estimate of its own; smaller ones are pooled by language, then
-    altogether. ``support``: share of rows that the estimate is made from. ``tail``: chance that a row of a normal
+    """``least_rows``: rows that a group needs for an estimate of its own; smaller ones take that of all rows of the
+    language, then that of all rows, which is drawn towards ``PRIOR`` if there are fewer altogether. ``support``: share of rows that the estimate is made from. ``tail``: chance that a row of a normal
     group is rejected. ``settled`` and ``most_steps`` end the steps: each keeps or lowers the determinant, so
     any of them is a valid estimate."""
 
@@ -99,19 +101,35 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """``rows`` with ``grp``: language and source where that pair has enough rows, else the language, else all."""
+    """``rows`` with ``grp``, whose estimate judges the row: language and source where that pair has enough rows, else
+    the language, else all; and ``feeds``, the groups whose estimates the row enters: all of them that judge any row."""
     pairs = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     pairs = stored(pairs, "quality-groups")
-    small = pairs.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("pooled"))
-    name = (
-        F.when(F.col("n") >= least, F.concat_ws("\x01", F.lit("pair"), "lang", "source"))
-        .when(F.col("pooled") >= least, F.concat_ws("\x01", F.lit("lang"), "lang"))
-        .otherwise(F.lit("all"))
+    langs = pairs.groupBy("lang").agg(F.sum("n").alias("whole"), F.min("n").alias("fewest"))
+    pair, lang = F.concat_ws("\x01", F.lit("pair"), "lang", "source"), F.concat_ws("\x01", F.lit("lang"), "lang")
+    own, wide = F.col("n") >= least, F.col("whole") >= least
+    named = stored(
+        pairs.join(langs, "lang").select(
+            "lang",
+            "source",
+            F.when(own, pair).when(wide, lang).otherwise(F.lit("all")).alias("grp"),
+            F.when(own, pair).alias("own"),
+            F.when(wide & (F.col("fewest") < least), lang).alias("wide"),
+        ),
+        "quality-named",
     )
-    named = pairs.join(small, "lang", "left").select("lang", "source", name.alias("grp"))
+    some = not named.where("grp = 'all'").isEmpty()
+    feeds = F.filter(F.array("own", "wide", F.lit("all" if some else None)), lambda g: g.isNotNull())
+    named = named.select("lang", "source", "grp", feeds.alias("feeds"))
     return rows.join(named, ["lang", "source"], "left").withColumn("grp", F.coalesce("grp", F.lit("all")))
 
 
+def _drawn(cov: np.ndarray, n: float, least: int) -> np.ndarray:
+    """``cov`` plus the least deviations; from fewer than ``least`` rows drawn towards the prior, wholly from none."""
+    share = max(0.0, 1 - n / least)
+    return (1 - share) * cov + share * np.diag(np.maximum(np.diag(cov), PRIOR**2)) + np.diag(FLOORS**2)
+
+
 def _packed(mean: np.ndarray, cov: np.ndarray, n: float, det: float) -> dict:
     precision = np.linalg.inv(cov)
     out = {f"m_{x}": mean[i] for i, x in enumerate(X)}
@@ -132,20 +150,20 @@ def _distance() -> Column:
 def _start(rows: DataFrame, least: int) -> DataFrame:
     """Medians, and deviations from the middle half."""
     quarters = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in X]
-    found = rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters).where(F.col("n") >= least)
+    found = rows.groupBy("grp").agg(F.count("*").alias("n"), *quarters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
                 low, mid, high = np.array([getattr(r, x) for x in X]).T
-                out.append({"grp": r.grp} | _packed(mid, np.diag(((high - low) / 1.349) ** 2 + FLOORS**2), r.n, math.inf))
+                out.append({"grp": r.grp} | _packed(mid, _drawn(np.diag(((high - low) / 1.349) ** 2), r.n, least), r.n, math.inf))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ESTIMATE.split(", ")])
 
     return found.mapInPandas(run, ESTIMATE)
 
 
-def _step(rows: DataFrame, now: DataFrame, share: float, widen: float | None) -> DataFrame:
+def _step(rows: DataFrame, now: DataFrame, share: float, widen: float | None, least: int) -> DataFrame:
     """The estimate from the rows nearest to ``now``: a share of them, or all within a squared distance."""
     measured = rows.join(now, "grp").withColumn("d2", _distance())
     cell = F.floor(F.log2(F.greatest("d2", F.lit(1e-12))) * CELLS).cast("int")
@@ -173,11 +191,11 @@ def _step(rows: DataFrame, now: DataFrame, share: float, widen: float | None) ->
         for i, j in PRODUCTS:
             cov[i, j] = cov[j, i] = part[f"q_{i}_{j}"].sum() / n - shift[i] * shift[j]
         mean = np.array([part[f"m_{x}"].iloc[0] for x in X]) + shift
-        det = np.linalg.slogdet(cov + np.diag(FLOORS**2))[1]
+        det = np.linalg.slogdet(_drawn(cov, total, least))[1]
         # The nearest rows alone would understate the spread of a normal group.
         alpha = min(n / total, 1 - 1e-6) if widen is None else _chi2_cdf(widen, p)
         cov = cov * alpha / _chi2_cdf(_chi2_quantile(1 - alpha, p), p + 2)
-        return pd.DataFrame([{"grp": pdf["grp"].iloc[0]} | _packed(mean, cov + np.diag(FLOORS**2), n, det)])
+        return pd.DataFrame([{"grp": pdf["grp"].iloc[0]} | _packed(mean, _drawn(cov, total, least), n, det)])
 
     return cells.groupBy("grp").applyInPandas(estimate, ESTIMATE)
 
@@ -186,34 +204,34 @@ def robust_estimates(rows: DataFrame, rules: Rules) -> DataFrame:
     """One MCD estimate per ``grp`` of ``rows``: location, precision (off-diagonal terms doubled), rows used."""
     now = stored(_start(rows, rules.least_rows), "quality-estimate")
     for _ in range(rules.most_steps):
-        new = stored(_step(rows, now, rules.support, None), "quality-estimate")
+        new = stored(_step(rows, now, rules.support, None, rules.least_rows), "quality-estimate")
         moved = new.join(now.select("grp", F.col("log_det").alias("before")), "grp").where(
             F.abs(F.col("log_det") - F.col("before")) > rules.settled
         )
         now = new
         if moved.isEmpty():
             break
-    return stored(_step(rows, now, 1.0, _chi2_quantile(0.025, len(X))), "quality-estimate")
+    return stored(_step(rows, now, 1.0, _chi2_quantile(0.025, len(X)), rules.least_rows), "quality-estimate")
 
 
 def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_key, the counts, base_failed, distance (squared), kept.
 
     A document is kept when the base rules pass and its squared distance from its group's robust estimate is within
-    the chi-square cutoff of ``rules.tail``. Groups without an estimate (too few rows anywhere) reject nothing, and
-    rows that fail the base rules enter no estimate and have no distance. Empty and missing texts fail the base
+    the chi-square cutoff of ``rules.tail``. Rows that fail the base rules enter no estimate and have no distance; every
+    other row has one. Empty and missing texts fail the base
     rules. Repeated rows and missing ids are judged like any other. An empty table gives an empty result.
     """
     rules = rules or Rules()
     rows = stored(_vectors(document_counts(docs, id_col, text_col)), "quality")
     grouped = stored(_grouped(rows, rules.least_rows), "quality")
-    passed = grouped.where("not base_failed").select("grp", *X)
+    passed = grouped.where("not base_failed").select(F.explode("feeds").alias("grp"), *X)
     estimates = robust_estimates(passed, rules)
     cutoff = _chi2_quantile(rules.tail, len(X))
     judged = grouped.join(estimates, "grp", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), _distance())
     )
-    inside = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    inside = F.col("base_failed") | (F.col("distance") <= cutoff)
     return judged.select(
         "doc_id", "row_key", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "distance", "grp"
     )
