@@ -32,7 +32,7 @@ BLOCK = 512
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """A character class: which candidates belong to it, and the bits a window must reach."""
+    """A character class: which candidates and windows belong to it, and the bits a window must reach."""
 
     name: str
     member: str
@@ -41,18 +41,21 @@ class EntropyRule:
 
 @dataclass(frozen=True)
 class EntropyScan:
-    """Parameters of the entropy scan. The first class that a candidate belongs to decides; one that belongs to
-    none, or that an allow-list pattern matches, is left alone."""
+    """Parameters of the entropy scan. A window must reach the bits of the first class that its candidate belongs to,
+    or of the first that it belongs to itself. A candidate that a pattern of ``allow`` matches is left alone; a match
+    of ``allow_parts`` takes out the windows that it overlaps."""
 
     window: int = 20
     rules: Sequence[EntropyRule] = field(
         default_factory=lambda: (
             EntropyRule("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0),
             EntropyRule("mixed", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.7),
+            EntropyRule("upper", r"^(?=(?:[^0-9]*[0-9]){2})(?=.*[A-Z])[A-Z0-9+/_=-]+$", 3.6),
+            EntropyRule("lower", r"^(?=(?:[^0-9]*[0-9]){2})(?=.*[a-z])[a-z0-9+/_=-]+$", 3.6),
         )
     )
-    allow: Sequence[str] = (
-        r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
+    allow: Sequence[str] = (r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",)
+    allow_parts: Sequence[str] = (
         r"(?i)example|placeholder|changeme",
         r"(?i)0123456789|abcdefghij|qwertyuiop",
     )
@@ -122,15 +125,24 @@ def _base(text: Column, kind: str, order: int) -> Column:
 
 
 def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
-    """struct<first, last, bits>: the first and last window of ``word`` that reach its class's bits (0 if none).
+    """struct<first, last>: the first and last window of ``word`` that reach the bits of a class (0 if none).
 
     A window's entropy is log2(w) - sum(c log2 c) / w over its character counts. One step adds a character and takes
     one out, and changes the sum by the two terms alone.
     """
     w = scan.window
-    bits = F.lit(math.inf)
-    for rule in reversed(scan.rules):
-        bits = F.when(F.rlike(word, F.lit(rule.member)), F.lit(rule.bits)).otherwise(bits)
+    lowest = min((rule.bits for rule in scan.rules), default=math.inf)
+
+    def bits_of(part: Column) -> Column:
+        bits = F.lit(math.inf)
+        for rule in reversed(scan.rules):
+            bits = F.when(F.rlike(part, F.lit(rule.member)), F.lit(rule.bits)).otherwise(bits)
+        return bits
+
+    def covered(s: Column, i: Column) -> Column:
+        return F.exists(
+            s["parts"], lambda m: (m["start"] < i) & (m["start"] + F.char_length(m["found"]) > i - w)
+        )
 
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
@@ -156,7 +168,11 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
                 a["counts"],
                 lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"),
             )
-            hit = (i >= w) & (F.lit(math.log2(w)) - total / F.lit(float(w)) >= s["bits"] - 1e-9)
+            found = F.lit(math.log2(w)) - total / F.lit(float(w)) + F.lit(1e-9)
+            window = F.substr(s["word"], i - (w - 1), F.lit(w))
+            hot = (found >= s["bits"]) | (found >= bits_of(window))
+            # The first two terms are cheap, and the last is not looked at where they fail.
+            hit = (i >= w) & (found >= lowest) & hot & ~covered(s, i)
             return F.struct(
                 counts.alias("counts"),
                 total.alias("sum"),
@@ -172,9 +188,9 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
         )
 
     codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    bound = F.array(F.struct(codes.alias("codes"), bits.alias("bits")))
-    none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.when(bits < math.inf, F.transform(bound, scanned)[0]).otherwise(none)
+    parts = _matches(word, "|".join(f"(?:{p})" for p in scan.allow_parts) or "(?!)")
+    bound = F.array(F.struct(codes.alias("codes"), bits_of(word).alias("bits"), word.alias("word"), parts.alias("parts")))
+    return F.transform(bound, scanned)[0]
 
 
 def _entropy(text: Column, scan: EntropyScan) -> Column:
