@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, passages, pieces, pii, quality, secrets, shards, simhash, vectors
+from . import exact, infill, lm, mixing, negatives, passages, pieces, pii, quality, secrets, shards, simhash, vectors
 from .common import read, sha256_hex
 
 
@@ -93,6 +93,66 @@ def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every group of equal texts."""
+    found = exact.exact_groups(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP11_SQL = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+  g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)"""
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines for filling in the middle, and rebuilt."""
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha256_hex(F.col("output")).alias("output_sha256"),
+        sha256_hex(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+_H = [f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4)]
+OP12_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+  l AS (SELECT doc_id, t, {", ".join(_H)}, string_split(t, chr(10)) AS p FROM d),
+  m AS (SELECT *, len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END AS n FROM l),
+  c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS plain FROM m),
+  x AS (SELECT *, CASE WHEN a = n THEN length(t) ELSE length(array_to_string(p[1:a], chr(10))) + least(a, 1) END AS i,
+      CASE WHEN b = n THEN length(t) ELSE length(array_to_string(p[1:b], chr(10))) + least(b, 1) END AS j FROM c),
+  y AS (SELECT *, substr(t, 1, i) AS pre, substr(t, i + 1, j - i) AS mid, substr(t, j + 1) AS suf FROM x)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN i::BIGINT END AS prefix_chars, CASE WHEN NOT plain THEN (j - i)::BIGINT END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN h4 % 100 < 50 THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+    ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM y"""
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, for each of its nearest rows of the same label."""
+    rows = read(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding"
+    )
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.e, r.e)::BIGINT AS score
+    FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_sentencepiece,
@@ -105,11 +165,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_passages,
         op9_shards,
         op10_scores,
+        op11_exact,
+        op12_infill,
+        op13_negatives,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can express none of these: hashes, trained models, tokenizers and components are compared with brute force
-    in ``tests/llm``."""
-    return {}
+    """SQL can express the last three. Hashes, trained models, tokenizers and components of the others are compared
+    with brute force in ``tests/llm``."""
+    return {"op11_exact": OP11_SQL, "op12_infill": OP12_SQL, "op13_negatives": OP13_SQL}
