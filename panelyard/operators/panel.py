@@ -30,7 +30,7 @@ def panel_metrics(
     population: str | None = None,
     per: float = 100_000,
     pop_unit: float = 1,
-    span: float | None = None,
+    scan: bool = False,
 ) -> DataFrame:
     """Active level, daily changes, fatality ratio, rates, logs and exposure of a cumulative panel.
 
@@ -40,7 +40,7 @@ def panel_metrics(
     levels = [total, *removed]
     rows = df.withColumn("active", active_level(total, removed))
     every = [*levels, "active"]
-    out = w.with_previous(rows, entity, time, every, span).withColumns(
+    out = w.with_previous(rows, entity, time, every, scan).withColumns(
         {**{f"new_{c}": w.change(c) for c in every}, "exposure": w.exposure_days(time)}
     )
     extra = {f"log_{c}": safe_log(c) for c in every}
@@ -53,13 +53,13 @@ def panel_metrics(
 
 
 def totals_over_time(
-    df: DataFrame, time: str, total: str, removed: Sequence[str], span: float | None = None
+    df: DataFrame, time: str, total: str, removed: Sequence[str], scan: bool = False
 ) -> DataFrame:
     """Totals of all entities per date, their changes, the active level and logs."""
     levels = [total, *removed]
     sums = totals_by(df, time, levels).withColumn("active", active_level(total, removed))
     every = [*levels, "active"]
-    out = w.series_deltas(sums, time, {f"new_{c}": c for c in every}, span)
+    out = w.series_deltas(sums, time, {f"new_{c}": c for c in every}, scan)
     return out.withColumns({f"log_{c}": safe_log(c) for c in every})
 
 

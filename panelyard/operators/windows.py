@@ -4,16 +4,16 @@ The panel key is (entity, time). What that says about the rows of one entity dep
 
 * **Dates.** An entity has at most one row per calendar day, so a century is 36,525 rows whatever the size of the
   table. An ordinary ``Window.partitionBy(entity)`` is bounded and is used: one shuffle, one sort, shared by every
-  operator that orders the same way. A repeated key breaks the bound (and has no defined order), so it stops the
-  job; sum reporting units first with :func:`panelyard.operators.panel.collapse_to_key`.
-* **Timestamps and numbers.** Nothing bounds an entity, so the timeline of every large one is cut into buckets of
-  ``span`` time units, the window runs per (entity, bucket), and what a bucket needs to know of the past travels as
-  one *carry row*: the last row of every bucket and the first time of the entity come from a grouped aggregate
-  (map-side combine), a window over that small table moves them to the next bucket that has rows, and they are
-  stacked onto the data, sort in front of their bucket, and are dropped after the window. The data is shuffled and
-  sorted once. The cut points are a function of the value, so a re-run task computes the same buckets. An entity is
-  large above ``hot_rows`` rows (see :func:`hot_entities`); the others stay whole. Passing ``span`` selects this form
-  for dates too.
+  operator that orders the same way.
+* **Timestamps and numbers.** Nothing bounds an entity, so the order (entity, time) of the whole table is cut into
+  cells by a range partitioning (:func:`range_cells`): as many cells as shuffle partitions, of about equal numbers of
+  rows however the times of an entity lie. Windows run per (entity, cell), and what a cell needs to know of the past
+  travels as one *carry row*. Cells are runs of the order, so an entity that lies in several cells needs one carry
+  row for each but its first, which is at most one for each cell of the table. ``scan=True`` selects this form for
+  dates too.
+
+A repeated key has no defined order, so it stops the job in both forms; sum reporting units first with
+:func:`panelyard.operators.panel.collapse_to_key`.
 """
 
 from __future__ import annotations
@@ -24,20 +24,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelyard.functions.distributions import normal_quantile_column
 from panelyard.operators.joins import left_join
+from panelyard.session import cut_lineage
 
-BUCKET, ROLE, STATE, START = "_bucket", "_role", "_state", "_start"
-
-# Time units per bucket: seconds for timestamps, plain units for numbers.
-DEFAULT_SPAN = {"timestamp": 6 * 3600, "number": 4096}
+CELL, ROLE, STATE, START = "_cell", "_role", "_state", "_start"
 
 
 def entity_columns(entity: str | Sequence[str]) -> list[str]:
     return [entity] if isinstance(entity, str) else list(entity)
 
 
-def bounded_by_calendar(df: DataFrame, time: str, span: float | None) -> bool:
-    return span is None and isinstance(df.schema[time].dataType, T.DateType)
+def bounded_by_calendar(df: DataFrame, time: str, scan: bool) -> bool:
+    kind = df.schema[time].dataType
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.NumericType)):
+        raise TypeError(f"{time} is {kind.simpleString()}; order by a date, a timestamp or a number")
+    return isinstance(kind, T.DateType) and not scan
 
 
 # An entity above this many rows is cut; at most this many entities are ever listed as large.
@@ -64,35 +66,23 @@ def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.join(F.broadcast(hot_entities(df, keys, hot_rows)), match, "left").drop(*[f"_h{i}" for i in range(len(keys))])
 
 
-def with_bucket(df: DataFrame, keys: Sequence[str], time: str, span: float | None, hot_rows: int) -> DataFrame:
-    """Add the bucket number; one bucket for an entity that is not large."""
-    bucket = time_bucket(df, time, span)
-    if not keys:
-        return df.withColumn(BUCKET, bucket)
-    whole = F.lit(0).cast("bigint")
-    return mark_hot(df, keys, hot_rows).withColumn(BUCKET, F.when(F.col("_n").isNull(), whole).otherwise(bucket)).drop("_n")
+def range_cells(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` sorted by ``order`` in cells: ``_cell`` grows along the order, ``_place`` from 0 inside a cell.
 
-
-def time_bucket(df: DataFrame, time: str, span: float | None = None) -> Column:
-    kind = df.schema[time].dataType
-    if isinstance(kind, T.DateType):
-        units, default = F.unix_date(time), 512
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        units, default = F.unix_seconds(F.col(time).cast("timestamp")), DEFAULT_SPAN["timestamp"]
-    elif isinstance(kind, T.NumericType):
-        units, default = F.col(time), DEFAULT_SPAN["number"]
-    else:
-        raise TypeError(f"{time} is {kind.simpleString()}; order by a date, a timestamp or a number")
-    return F.floor(units / F.lit(span or default))
+    The cut points come from Spark's sample of the order, which balances the cells and decides nothing else; rows that
+    agree in all of ``order`` share a cell. Written to reliable storage, so every later use sees the same cells.
+    """
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(cells, *order).sortWithinPartitions(*order)
+    # The number that Spark gives: partition, then position in it.
+    numbered = cut_lineage(sorted_rows.withColumn("_place", F.monotonically_increasing_id()))
+    return numbered.withColumns(
+        {CELL: F.shiftright("_place", 33).cast("int"), "_place": F.col("_place").bitwiseAND((1 << 33) - 1)}
+    )
 
 
 def with_previous(
-    df: DataFrame,
-    entity: str | Sequence[str],
-    time: str,
-    values: Sequence[str],
-    span: float | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, entity: str | Sequence[str], time: str, values: Sequence[str], scan: bool = False
 ) -> DataFrame:
     """Add ``_previous`` (struct of the row before, NULL at the first row) and ``_start`` (first time).
 
@@ -101,33 +91,29 @@ def with_previous(
     """
     keys = entity_columns(entity)
     rows = df.filter(F.col(time).isNotNull())
-    if bounded_by_calendar(df, time, span):
+    repeated = F.raise_error(F.concat(F.lit("the panel key repeats at "), F.col(time).cast("string")))
+    checked = F.when(F.col(f"_previous.{time}") == F.col(time), repeated).otherwise(F.col("_previous"))
+    state = F.struct(time, *[v for v in values if v != time])
+    if bounded_by_calendar(df, time, scan):
         order = Window.partitionBy(*keys).orderBy(time)
-        before = F.lag(F.struct(time, *values)).over(order)
-        repeated = F.raise_error(F.concat(F.lit("the panel key repeats at "), F.col(time).cast("string")))
-        return rows.withColumns({"_previous": before, START: F.first(time).over(order)}).withColumn(
-            "_previous", F.when(F.col(f"_previous.{time}") == F.col(time), repeated).otherwise(F.col("_previous"))
+        return rows.withColumns({"_previous": F.lag(state).over(order), START: F.first(time).over(order)}).withColumn(
+            "_previous", checked
         )
-    rows = with_bucket(rows, keys, time, span, hot_rows)
-    edges = rows.groupBy(*keys, BUCKET).agg(
-        *[F.max_by(v, time).alias(v) for v in values], F.min(time).alias(START)
-    )
-    over_buckets = Window.partitionBy(*keys).orderBy(BUCKET)
+    rows = range_cells(rows, [*keys, time]).drop("_place")
+    edges = rows.groupBy(*keys, CELL).agg(F.max_by(state, time).alias(STATE), F.min(time).alias(START))
+    over_cells = Window.partitionBy(*keys).orderBy(CELL)
     carry = edges.select(
-        *keys,
-        BUCKET,
-        F.lit(0).alias(ROLE),
-        F.lag(F.struct(*values)).over(over_buckets).alias(STATE),
-        F.first(START).over(over_buckets).alias(START),
-    )
-    stacked = rows.withColumns({ROLE: F.lit(1), STATE: F.struct(*values)}).unionByName(carry, allowMissingColumns=True)
-    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(ROLE, time)
+        *keys, CELL, F.lit(0).alias(ROLE), F.lag(STATE).over(over_cells).alias(STATE), F.first(START).over(over_cells).alias(START)
+    ).filter(F.col(STATE).isNotNull())
+    stacked = rows.withColumns({ROLE: F.lit(1), STATE: state}).unionByName(carry, allowMissingColumns=True)
+    in_cell = Window.partitionBy(*keys, CELL).orderBy(ROLE, time)
     return (
         stacked.withColumns(
-            {"_previous": F.lag(STATE).over(in_bucket), START: F.first(START).over(in_bucket)}
+            {"_previous": F.lag(STATE).over(in_cell), START: F.first(F.coalesce(START, time)).over(in_cell)}
         )
         .filter(F.col(ROLE) == 1)
-        .drop(BUCKET, ROLE, STATE)
+        .drop(CELL, ROLE, STATE)
+        .withColumn("_previous", checked)
     )
 
 
@@ -147,53 +133,51 @@ def deltas(
     time: str,
     measures: Mapping[str, str],
     exposure: str | None = None,
-    span: float | None = None,
-    hot_rows: int = HOT_ROWS,
+    scan: bool = False,
 ) -> DataFrame:
     """``{new column: cumulative column}`` per-step changes and, if named, the exposure day."""
-    rows = with_previous(df, entity, time, list(measures.values()), span, hot_rows)
+    rows = with_previous(df, entity, time, list(measures.values()), scan)
     added = {new: change(level) for new, level in measures.items()}
     if exposure:
         added[exposure] = exposure_days(time)
     return rows.withColumns(added).drop("_previous", START)
 
 
-def series_deltas(df: DataFrame, time: str, measures: Mapping[str, str], span: float | None = None) -> DataFrame:
+def series_deltas(df: DataFrame, time: str, measures: Mapping[str, str], scan: bool = False) -> DataFrame:
     """Changes along one series without entities, such as daily totals."""
-    return deltas(df, [], time, measures, span=span)
+    return deltas(df, [], time, measures, scan=scan)
 
 
 def running_totals(
-    df: DataFrame,
-    entity: str | Sequence[str],
-    time: str,
-    measures: Mapping[str, str],
-    span: float | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, entity: str | Sequence[str], time: str, measures: Mapping[str, str], scan: bool = False
 ) -> DataFrame:
     """``{new column: column}`` cumulative sums, the inverse of :func:`deltas`, cut the same way."""
     keys = entity_columns(entity)
     rows = df.filter(F.col(time).isNotNull())
-    if bounded_by_calendar(df, time, span):
+    if bounded_by_calendar(df, time, scan):
         order = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumns({n: F.sum(m).over(order) for n, m in measures.items()})
-    rows = with_bucket(rows, keys, time, span, hot_rows)
-    over_buckets = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    rows = range_cells(rows, [*keys, time]).drop("_place")
+    over_cells = Window.partitionBy(*keys).orderBy(CELL)
+    before = over_cells.rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, BUCKET)
+        rows.groupBy(*keys, CELL)
         .agg(*[F.sum(m).alias(m) for m in set(measures.values())])
         .select(
-            *keys, BUCKET, F.lit(0).alias(ROLE), *[F.sum(m).over(over_buckets).alias(n) for n, m in measures.items()]
+            *keys, CELL, F.lit(0).alias(ROLE), F.row_number().over(over_cells).alias("_k"),
+            *[F.sum(m).over(before).alias(n) for n, m in measures.items()],
         )
+        .filter(F.col("_k") > 1)
+        .drop("_k")
     )
     stacked = rows.withColumns({ROLE: F.lit(1), **{n: F.col(m) for n, m in measures.items()}}).unionByName(
         carry, allowMissingColumns=True
     )
-    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(ROLE, time).rowsBetween(Window.unboundedPreceding, 0)
+    in_cell = Window.partitionBy(*keys, CELL).orderBy(ROLE, time).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        stacked.withColumns({n: F.sum(n).over(in_bucket) for n in measures})
+        stacked.withColumns({n: F.sum(n).over(in_cell) for n in measures})
         .filter(F.col(ROLE) == 1)
-        .drop(BUCKET, ROLE)
+        .drop(CELL, ROLE)
     )
 
 
@@ -280,12 +264,38 @@ def holm(df: DataFrame, p: str, adjusted: str = "adjusted") -> DataFrame:
     return df.join(steps, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
 
 
-def qq_points(df: DataFrame, value: str, points: int = 99, accuracy: int = 1_000_000) -> DataFrame:
-    """Sample quantiles against normal quantiles at ``points`` evenly spread probabilities."""
-    from panelyard.functions.distributions import normal_quantile
+def ranked(df: DataFrame, value: str, ties: Sequence[str] = (), rank: str = "rank", total: str = "total") -> DataFrame:
+    """``df`` with the exact rank of every row by ``value`` from 1 on, and the number of ranked rows.
+
+    Ties are ranked by the columns ``ties``, then in the order of the rows; a value may be repeated any number of times.
+    Rows with a missing value or NaN have no rank and are left out. One range shuffle; the only table that meets in one
+    task has a row for each cell.
+    """
+    there = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        there = there & ~F.isnan(value)
+    # The row's number makes every place in the order its own, so equal values can lie in several cells.
+    rows = df.filter(there).withColumn("_row", F.monotonically_increasing_id())
+    rows = range_cells(rows, [value, *ties, "_row"])
+    over_cells = Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(
+        F.col(CELL).alias("_c"),
+        F.coalesce(F.sum("_n").over(over_cells), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias(total),
+    )
+    # As many rows as there are shuffle partitions.
+    joined = rows.join(F.broadcast(offsets), F.col(CELL) == F.col("_c"))
+    return joined.withColumn(rank, F.col("_before") + F.col("_place") + 1).drop("_before", "_place", "_c", "_row", CELL)
 
-    shares = [(i - 0.5) / points for i in range(1, points + 1)]
-    sample = F.percentile_approx(value, shares, accuracy)
-    theory = F.array(*[F.lit(normal_quantile(s)) for s in shares])
-    return df.agg(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("p"), theory.alias("theoretical"),
-                               sample.alias("sample")).alias("q")).select(F.inline("q"))
+
+def qq_points(df: DataFrame, value: str, ties: Sequence[str] = ()) -> DataFrame:
+    """One point per row: its probability ``p`` and the normal quantile ``theoretical`` to hold ``value`` against.
+
+    The i-th smallest of n values stands at (i - a) / (n + 1 - 2 a) with a = 3/8 up to ten values and 1/2 beyond.
+    Ties and missing values as in :func:`ranked`.
+    """
+    rows = ranked(df, value, ties, "_rank", "_total")
+    a = F.when(F.col("_total") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    rows = rows.withColumn("p", (F.col("_rank") - a) / (F.col("_total") + 1 - 2 * a))
+    return rows.withColumn("theoretical", normal_quantile_column(F.col("p"))).drop("_rank", "_total")

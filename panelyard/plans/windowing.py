@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelyard.functions.dates import days_since
-from panelyard.functions.distributions import normal_quantile
+from panelyard.functions.distributions import AS241
 from panelyard.operators import scale, windows
 from panelyard.operators.aggregate import totals_by
+from panelyard.operators.joins import left_join
 from panelyard.plans.registry import query
 from panelyard.plans.tables import LEVELS, PANEL_SQL, order_panel, rounded, table, text_date
 
@@ -119,17 +120,49 @@ def holm(spark, sf_dir):
     return windows.holm(tests, "p").withColumn("adjusted", F.round("adjusted", 8))
 
 
-_POINTS = 25
-_QQ = ", ".join(f"({(i - 0.5) / _POINTS!r}, {normal_quantile((i - 0.5) / _POINTS)!r})" for i in range(1, _POINTS + 1))
+def _quantile_sql(p: str) -> str:
+    """The normal quantile of a SQL expression, by the published rational approximations."""
+
+    def ratio(r: str, over, under) -> str:
+        def horner(terms) -> str:
+            out = f"{terms[0]!r}::DOUBLE"
+            for t in terms[1:]:
+                out = f"({out} * ({r}) + {t!r}::DOUBLE)"
+            return out
+
+        return f"{horner(over)} / {horner(under)}"
+
+    q, tail = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1.0::DOUBLE - {p})))"
+    centre = f"{q} * {ratio(f'0.180625::DOUBLE - {q} * {q}', AS241[0], AS241[1])}"
+    near, far = ratio(f"{tail} - 1.6::DOUBLE", AS241[2], AS241[3]), ratio(f"{tail} - 5.0::DOUBLE", AS241[4], AS241[5])
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {centre} ELSE sign({q}) * (CASE WHEN {tail} <= 5 THEN {near} ELSE {far} END) END"
 
 
 @query(
     "w11_qq_points",
-    f"""WITH r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) AS rn, count(*) OVER () AS n FROM orders),
-        g(p, theoretical) AS (VALUES {_QQ})
-        SELECT round(CAST(g.p AS DOUBLE), 6) AS p, round(CAST(g.theoretical AS DOUBLE), 6) AS theoretical, r.o_totalprice AS sample
-        FROM g JOIN r ON r.rn = CAST(ceil(CAST(g.p AS DOUBLE) * r.n) AS BIGINT)""",
+    f"""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn, count(*) OVER () AS n FROM orders),
+        q AS (SELECT *, CASE WHEN n <= 10 THEN (rn - 0.375::DOUBLE) / (n + 0.25::DOUBLE) ELSE (rn - 0.5::DOUBLE) / n END AS p FROM r)
+        SELECT o_orderkey, o_totalprice, round(p, 9) AS p, round({_quantile_sql("p")}, 6) AS theoretical FROM q""",
 )
 def qq_points(spark, sf_dir):
-    q = windows.qq_points(table(spark, sf_dir, "orders"), "o_totalprice", _POINTS)
-    return q.select(rounded("p", 6), rounded("theoretical", 6), "sample")
+    """One point for every order."""
+    q = windows.qq_points(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"])
+    return q.select("o_orderkey", "o_totalprice", rounded("p", 9), rounded("theoretical", 6))
+
+
+_RESIDUALS = f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS x FROM lineitem),
+    k AS (SELECT *, row_number() OVER (ORDER BY round(x, 4), l_orderkey, l_linenumber) AS rn, count(*) OVER () AS n FROM r),
+    q AS (SELECT *, (rn - 0.5::DOUBLE) / n AS p FROM k)
+    SELECT l_orderkey, l_linenumber, round(x, 4) AS residual, round({_quantile_sql("p")}, 6) AS theoretical FROM q"""
+
+
+@query("w11_qq_residuals", _RESIDUALS)
+def qq_residuals(spark, sf_dir):
+    """Residuals of all lines about the mean of their supplier against the normal distribution."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    means = lines.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("mean"))
+    rows = left_join(lines, means, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") - F.col("mean"), 4).alias("residual")
+    )
+    q = windows.qq_points(rows, "residual", ["l_orderkey", "l_linenumber"])
+    return q.select("l_orderkey", "l_linenumber", "residual", rounded("theoretical", 6))
