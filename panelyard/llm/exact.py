@@ -163,8 +163,8 @@ def _refuted(chunks: DataFrame, members: DataFrame, rule: Fingerprint) -> DataFr
     leads = members.where("row = keep_row").select(
         "row", "keep_row", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.lit(True).alias("leads")
     )
-    # Stored, so the planner knows the size of the list before it decides how to join the texts.
-    asked = stored(others.union(leads), "exact-asked")
+    # A hash table of the short list in every partition: the texts stream past it and are never sorted.
+    asked = others.union(leads).hint("shuffle_hash")
     pieces = stored(chunks.select("row", "part", "piece").join(asked, "row"), "exact-pieces")
     key = ["keep_row", "copy", "part"]
     kept = pieces.where("leads").select(*key, F.col("piece").alias("kept_piece"))
