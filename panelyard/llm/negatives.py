@@ -15,6 +15,7 @@ the anchors nor the pages of one task grow with the table.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ class Tree:
     that one task takes through a page."""
 
     page: int = 8192
-    leaf: int = 64
+    leaf: int = 256
     fan_out: int = 8
     upper: int = 1024
     anchors: int = 16384
@@ -92,9 +93,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same matrices in a type that holds their inner products exactly."""
-    most = np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * x.shape[1]
-    return (x, y) if most < 2.0**53 else (x.astype(np.int64), y.astype(np.int64))
+    """The same matrices in the smallest type that holds their inner products exactly."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
+    kind = np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+    return x.astype(kind, copy=False), y.astype(kind, copy=False)
 
 
 def packed_order(x: np.ndarray, leaf: int) -> list[np.ndarray]:
@@ -159,20 +161,25 @@ class Page:
                     for child in self.children[node]:
                         heapq.heappush(queue, (-above[n, child], child))
                     continue
-                at = slice(self.span[node], self.span[node + 1])
-                scores = (self.x[at] @ vector).astype(np.int64)
-                fits = (self.label[at] == label) == same
+                first, last = self.span[node], self.span[node + 1]
+                scores = self.x[first:last] @ vector
+                # Most rows lie below every window's floor; the few others are looked at closely.
+                hit = np.flatnonzero(scores >= min(max(w[0], w[2]) for w in live))
+                hit = hit[(self.label[first + hit] == label) == same]
                 if same:
-                    fits &= self.row[at] != row
+                    hit = hit[self.row[first + hit] != row]
+                if not len(hit):
+                    continue
+                score = scores[hit].astype(np.int64)
+                hit += first
+                order = np.lexsort((self.row[hit], self.ids[hit], -score))
+                found = list(zip((-score[order]).tolist(), self.ids[hit[order]].tolist(), self.row[hit[order]].tolist(), strict=True))
                 for w in live:
-                    hit = np.flatnonzero(fits & (scores >= max(w[0], w[2])) & (scores <= w[1]))
-                    if len(hit):
-                        hit += at.start
-                        score = scores[hit - at.start]
-                        best = np.lexsort((self.row[hit], self.ids[hit], -score))[:k]
-                        w[3] = sorted(w[3] + [(-int(score[b]), int(self.ids[hit[b]]), int(self.row[hit[b]])) for b in best])[:k]
-                        if len(w[3]) == k:
-                            w[2] = max(w[2], -w[3][-1][0])
+                    least, most = max(w[0], w[2]), w[1]
+                    fits = (f for f in found if least <= -f[0] <= most)
+                    w[3] = sorted(w[3] + list(itertools.islice(fits, k)))[:k]
+                    if len(w[3]) == k:
+                        w[2] = max(w[2], -w[3][-1][0])
             for number, w in enumerate(windows):
                 out += [(row, number, found, found_id, -score) for score, found_id, found in w[3]]
         return out
