@@ -10,10 +10,14 @@ and the sums of C and log|B| over all groups give the profiled REML criterion. C
 time (a quasi-Newton step and its difference quotients), so a step of the optimiser is one Spark job over the
 group table that returns a few sums. With two levels C is summed per outer group first and the same step runs on
 those sums.
+
+Terms that are constant or a combination of earlier ones are found once, from the sums over all groups, and left out
+of every candidate. Effects of two factors of which neither nests in the other are in ``crossed``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -78,15 +82,8 @@ def _sum_columns(width: int) -> list[str]:
     return [f"c{i}" for i in range(width * (width + 1) // 2)]
 
 
-# Up to this many partial sums per candidate are added up on the driver; more are added up by a grouped aggregate.
-FEW_PARTS = 32
-
-
-def evaluate(
-    groups: DataFrame, shape: Structure, thetas: np.ndarray, outer: str | None, few: bool = False
-) -> list[tuple[float, np.ndarray]]:
-    """(sum of log-determinants, summed C) for every candidate, in one job. ``few`` says that the group table has
-    at most ``FEW_PARTS`` partitions, each of which gives one partial sum per candidate."""
+def evaluate(groups: DataFrame, shape: Structure, thetas: np.ndarray, outer: str | None) -> list[tuple[float, np.ndarray]]:
+    """(sum of log-determinants, summed C) for every candidate, in one job."""
     width, z, names = shape.width, shape.z, _sum_columns(shape.width)
     lowers = [shape.lowers(t) for t in thetas]
     kind = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
@@ -139,8 +136,7 @@ def evaluate(
     else:
         inner = groups.select(outer, SUMS).mapInPandas(inner_level, f"k int, `{outer}` {kind[outer]}, logdet double, {sums}")
         parts = inner.groupBy("k", outer).agg(*add).mapInPandas(outer_level, f"k int, logdet double, {sums}")
-    if not (few and shape.levels == 1):
-        parts = parts.groupBy("k").agg(*add)
+    parts = parts.groupBy("k").agg(*add)
     total = np.zeros((len(lowers), 1 + len(names)))
     for row in parts.select("k", "logdet", *names).collect():
         total[row[0]] += row[1:]
@@ -175,11 +171,10 @@ class Search:
     def __init__(self, groups: DataFrame, shape: Structure, rule: Criterion, outer: str | None = None):
         self.groups, self.shape, self.rule, self.outer = groups, shape, rule, outer
         self.calls, self.seen = 0, {}
-        self.few = groups.rdd.getNumPartitions() <= FEW_PARTS
 
     def __call__(self, thetas: np.ndarray) -> np.ndarray:
         self.calls += 1
-        answers = evaluate(self.groups, self.shape, thetas, self.outer, self.few)
+        answers = evaluate(self.groups, self.shape, thetas, self.outer)
         self.seen = {t.tobytes(): part for t, part in zip(thetas, answers)} | self.seen
         return np.array([self.rule.value(*part) for part in answers])
 
@@ -189,6 +184,26 @@ class Search:
         return self.rule.parts(*self.seen[theta.tobytes()])
 
 
+def stencil(t: np.ndarray) -> tuple[np.ndarray, float]:
+    """Points around ``t`` for first and second derivatives, and their distance."""
+    m = len(t)
+    unit = np.eye(m)
+    both = [unit[i] + unit[j] for i in range(m) for j in range(i)]
+    h = 5e-4 * max(np.max(np.abs(t)), 1e-3)
+    return t + h * np.array([np.zeros(m), *unit, *-unit, *both, *[-b for b in both]]), h
+
+
+def derivatives(f: np.ndarray, h: float, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature from the values on a stencil."""
+    up, down = f[1 : m + 1], f[m + 1 : 2 * m + 1]
+    second = np.diag((up - 2 * f[0] + down) / h**2)
+    both = f[2 * m + 1 :].reshape(2, -1)
+    for k, (i, j) in enumerate((i, j) for i in range(m) for j in range(i)):
+        mixed = (both[0, k] + both[1, k] + 2 * f[0] - up[i] - up[j] - down[i] - down[j]) / (2 * h**2)
+        second[i, j] = second[j, i] = mixed
+    return (up - down) / (2 * h), second
+
+
 def minimise(
     search: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, max_steps: int = 25, scan: bool = True,
     tolerance: float = 1e-10,
@@ -197,30 +212,13 @@ def minimise(
     step asks for the full step with its differences and for shorter and longer steps together. ``scan`` tries the
     starting point at several scales first. Returns (theta, value, converged)."""
     m = len(theta)
-    unit = np.eye(m)
-    pairs = [(i, j) for i in range(m) for j in range(i)]
     lengths = np.array([0.5, 0.25, 0.1, 0.02, 2.0])
-
-    def stencil(t: np.ndarray) -> tuple[np.ndarray, float]:
-        h = 5e-4 * max(np.max(np.abs(t)), 1e-3)
-        moves = [np.zeros(m), *unit, *-unit, *[unit[i] + unit[j] for i, j in pairs], *[-unit[i] - unit[j] for i, j in pairs]]
-        return t + h * np.array(moves), h
-
-    def derivatives(f: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
-        up, down = f[1 : m + 1], f[m + 1 : 2 * m + 1]
-        second = np.diag((up - 2 * f[0] + down) / h**2)
-        both = f[2 * m + 1 :].reshape(2, -1)
-        for k, (i, j) in enumerate(pairs):
-            mixed = (both[0, k] + both[1, k] + 2 * f[0] - up[i] - up[j] - down[i] - down[j]) / (2 * h**2)
-            second[i, j] = second[j, i] = mixed
-        return (up - down) / (2 * h), second
-
     if scan:
         scales = np.array([1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 3.0])
         theta = theta * scales[int(np.nanargmin(search(scales[:, None] * theta)))]
     points, h = stencil(theta)
     answers = search(points)
-    value, (slope, curve) = answers[0], derivatives(answers, h)
+    value, (slope, curve) = answers[0], derivatives(answers, h, m)
     for _ in range(max_steps):
         w, v = np.linalg.eigh(curve)
         w = np.maximum(np.abs(w), 1e-10 * np.max(np.abs(w)) + 1e-300)
@@ -232,7 +230,7 @@ def minimise(
         answers = search(np.vstack([points, theta + lengths[:, None] * step]))
         near, far = answers[: len(points)], answers[len(points) :]
         if near[0] < value - 0.1 * gain:
-            theta, value, (slope, curve) = points[0], near[0], derivatives(near, h)
+            theta, value, (slope, curve) = points[0], near[0], derivatives(near, h, m)
             continue
         best = int(np.nanargmin(far))
         if not far[best] < value:
@@ -242,7 +240,7 @@ def minimise(
         theta, value = theta + lengths[best] * step, far[best]
         points, h = stencil(theta)
         answers = search(points)
-        slope, curve = derivatives(answers, h)
+        slope, curve = derivatives(answers, h, m)
     return theta, value, False
 
 
@@ -268,6 +266,9 @@ class MixedModel:
     response: str
     family: str = "gaussian"
     extra: dict = field(default_factory=dict)
+    #: Terms as given, and those of them that the others make superfluous; ``terms`` are the fitted ones.
+    given: list[str] | None = None
+    aliased: list[str] = field(default_factory=list)
     _effects: DataFrame | None = None
     _outer_effects: DataFrame | None = None
 
@@ -276,7 +277,8 @@ class MixedModel:
         return self.groups.sparkSession
 
     def coefficients(self) -> DataFrame:
-        """Estimate, standard error, statistic, normal p-value and bounds two standard errors away."""
+        """Estimate, standard error, statistic, normal p-value and bounds two standard errors away; all missing for an
+        aliased term."""
         from panelyard.functions.distributions import normal_two_sided
         from panelyard.models.ols import coefficient_frame
 
@@ -285,9 +287,10 @@ class MixedModel:
         beta[0] += self.scales.y_shift
         error = np.sqrt(np.diag(t @ self.inverse @ t.T) * self.s2)
         z = beta / error
-        return coefficient_frame(
-            self.spark, [d.INTERCEPT, *self.terms], beta, error, z, [normal_two_sided(v) for v in z]
-        )
+        columns = [beta, error, z, [normal_two_sided(v) for v in z]]
+        names = [d.INTERCEPT, *(self.given or self.terms)]
+        place = {name: i for i, name in enumerate([d.INTERCEPT, *self.terms])}
+        return coefficient_frame(self.spark, names, *[[c[place[n]] if n in place else None for n in names] for c in columns])
 
     def _z_back(self) -> np.ndarray:
         return self.scales.back()[np.ix_(self.shape.z, self.shape.z)]
@@ -300,6 +303,11 @@ class MixedModel:
     def residual_variance(self) -> float:
         return float(self.s2 * self.scales.y_scale**2)
 
+    @property
+    def effect_keys(self) -> list[str]:
+        """What an entity's effects are found by."""
+        return [self.entity] + ([self.outer] if self.outer else [])
+
     def effects(self) -> DataFrame:
         """Per entity: effects ``u`` and the matrices ``K``, ``W``, ``H`` that predictive variances need."""
         if self._effects is None:
@@ -319,8 +327,7 @@ class MixedModel:
             sum((F.lit(float(t[i, j])) * F.col("u")[j] for j in range(len(names))), F.lit(0.0)).alias(n)
             for i, n in enumerate(names)
         ]
-        keys = [self.entity] + ([self.outer] if self.outer else [])
-        return self.effects().select(*keys, "n", *columns)
+        return self.effects().select(*self.effect_keys, "n", *columns)
 
 
 def _effect_schema(keys: Sequence[str], kind: dict[str, str]) -> str:
@@ -409,6 +416,46 @@ def random_places(terms: Sequence[str], random: Sequence[str]) -> list[int]:
     return [0, *[terms.index(t) + 1 for t in random]]
 
 
+def identified(groups: DataFrame, width: int) -> tuple[np.ndarray, list[int]]:
+    """Sums of products over all groups, and the columns that are no combination of earlier ones."""
+    from panelyard.models.ols import sweep
+
+    names = _sum_columns(width)
+    row = groups.agg(*[F.sum(F.col(SUMS)[i]).alias(n) for i, n in enumerate(names)]).first()
+    total = unpack(np.array([[row[n] or 0.0 for n in names]]), width)[0]
+    return total, np.flatnonzero(sweep(total[None], width - 1)[1][0]).tolist()
+
+
+def without_aliased(
+    groups: DataFrame, terms: list[str], random: list[str], scales: d.Scales, kept: list[int]
+) -> tuple[DataFrame, list[str], d.Scales]:
+    """Group sums, terms and scales of the kept columns (0 is the intercept) and the response alone."""
+    width = len(terms) + 2
+    if len(kept) == width - 1 or not kept:
+        return groups, terms, scales
+    lost = [t for i, t in enumerate(terms, start=1) if i not in kept]
+    if bad := [t for t in lost if t in random]:
+        raise ValueError(f"random slopes of terms that other terms determine: {bad}")
+    place = {pair: k for k, pair in enumerate(zip(*np.triu_indices(width)))}
+    columns = [*kept, width - 1]
+    sums = F.array(*[F.col(SUMS)[place[a, b]] for i, a in enumerate(columns) for b in columns[i:]])
+    at = [k - 1 for k in kept if k]
+    less = d.Scales(tuple(scales.shift[i] for i in at), tuple(scales.scale[i] for i in at), scales.y_shift, scales.y_scale)
+    return groups.withColumn(SUMS, sums), [terms[i] for i in at], less
+
+
+def refuse_infinite(scales: d.Scales, terms: Sequence[str], response: str) -> None:
+    """An infinite value makes every sum meaningless; name the column that holds it."""
+    for name, mean in zip([*terms, response], [*scales.shift, scales.y_shift], strict=True):
+        if not np.isfinite(mean):
+            raise ValueError(f"{name} has infinite values or NaN; leave those rows out")
+
+
+def warn_unconverged(what: str, converged: bool) -> None:
+    if not converged:
+        warnings.warn(f"the {what} has not converged; see the model's 'converged'", RuntimeWarning, stacklevel=3)
+
+
 def fit_mixed(
     df: DataFrame,
     response: str,
@@ -417,29 +464,51 @@ def fit_mixed(
     random: Sequence[str] = (),
     outer: str | None = None,
     max_steps: int = 25,
-) -> MixedModel:
+    crossed: bool = False,
+):
     """REML fit of ``response ~ terms + (1 + random | entity)``, or with ``outer`` of
-    ``(1 + random | outer) + (1 + random | outer:entity)``.
+    ``(1 + random | outer) + (1 + random | outer:entity)``, an entity lying in one outer group; one that lies in
+    several stops the fit. With ``crossed`` it is ``(1 + random | outer) + (1 + random | entity)`` instead: the same
+    model where entities nest, and a :class:`panelyard.models.crossed.CrossedModel` where they do not.
 
-    Eager. Rows with a missing value are left out.
+    Eager. Rows with a missing value are left out. A term that is constant or a combination of earlier ones has no
+    estimate and the others are fitted. A fit that stops before it has converged warns, and says so in ``converged``.
     """
     terms = d.order_terms(terms)
     random = list(random)
     keys = [entity] + ([outer] if outer else [])
     base = sorted({p.strip() for t in terms for p in t.split(":")} | {response})
     rows = df.select(*keys, *[F.col(f"`{c}`") for c in base if c not in keys]).na.drop("any", subset=base)
+    random_places(terms, random)
     y = F.col(f"`{response}`").cast("double")
     scales = d.measure_scales(rows, terms, y)
+    refuse_infinite(scales, terms, response)
     x = d.scaled_terms(terms, scales)
     y = (y - F.lit(scales.y_shift)) / F.lit(scales.y_scale)
     groups = cut_lineage(rows.groupBy(*keys).agg(d.packed_products([*x, y]).alias(SUMS)))
-    shape = Structure(len(x) + 1, random_places(terms, random), 2 if outer else 1)
-    n = int(round(groups.agg(F.sum(F.col(SUMS)[0])).first()[0] or 0))
+    total, kept = identified(groups, len(x) + 1)
+    n = int(round(total[0, 0]))
+    given = terms
+    groups, terms, scales = without_aliased(groups, terms, random, scales, kept)
+    shape = Structure(len(terms) + 2, random_places(terms, random), 2 if outer else 1)
+    several = None
+    if outer:
+        several = groups.groupBy(entity).agg(F.count(F.lit(1)).alias("_places")).filter("_places > 1").first()
+        if several is not None and not crossed:
+            raise ValueError(f"{entity} {several[0]!r} lies in {several['_places']} groups of {outer}; use crossed=True")
+    common = dict(given=given, aliased=[t for t in given if t not in terms])
+    if several is not None:
+        from panelyard.models.crossed import fit_crossed
+
+        model = fit_crossed(groups, shape, n, terms, random, entity, outer, scales, response, max_steps, common)
+        warn_unconverged("mixed model", model.converged)
+        return model
     search = Search(groups, shape, Criterion(n), outer)
     theta, _, converged = minimise(search, np.concatenate([start_theta(shape.r)] * shape.levels), max_steps)
     value, beta, inverse, s2 = search.parts(theta)
     value += 2 * sum(np.log(scales.scale)) + (n - len(beta)) * 2 * np.log(scales.y_scale)
+    warn_unconverged("mixed model", converged)
     return MixedModel(
         terms, random, entity, outer, scales, shape, theta, beta, inverse, float(s2), n, float(value), converged,
-        search.calls, groups, response,
+        search.calls, groups, response, **common,
     )

@@ -23,7 +23,7 @@ def _with_effects(model: MixedModel, df: DataFrame, spread: bool) -> DataFrame:
         levels.append(("o", model.outer, model.outer_effects()))
     for (tag, key, effects), lower in zip(levels, model.shape.lowers(model.theta)):
         names = ["u", "K", "W", "H"] if spread else ["u"]
-        keys = [key, model.outer] if tag == "e" and model.outer else [key]
+        keys = model.effect_keys if tag == "e" else [key]
         side = effects.select(
             *[F.col(k).alias(f"_{tag}{i}") for i, k in enumerate(keys)], *[F.col(n).alias(f"_{tag}{n}") for n in names]
         )
@@ -80,6 +80,8 @@ def predictive(model: MixedModel, df: DataFrame, est: str = "est", sd: str = "sd
     """
     if model.family != "gaussian":
         raise ValueError("predictive sds are defined for linear mixed models")
+    if model.outer and model.effect_keys == [model.entity]:
+        raise ValueError("predictive sds are not defined for crossed effects")
     keep = [*df.columns, est, sd]
     p, r = model.shape.width - 1, model.shape.r
     df, x, z = _design(model, df)

@@ -12,6 +12,8 @@ from panelyard.models.lmm import MixedModel, Structure
 
 
 def save_model(model: MixedModel, path: str) -> str:
+    if model.outer and model.effect_keys == [model.entity]:
+        raise ValueError("models of crossed effects are not stored")
     record = {
         "terms": model.terms, "random": model.random, "entity": model.entity, "outer": model.outer,
         "response": model.response, "family": model.family, "extra": model.extra,
@@ -20,6 +22,7 @@ def save_model(model: MixedModel, path: str) -> str:
         "width": model.shape.width, "z": model.shape.z, "levels": model.shape.levels,
         "theta": model.theta.tolist(), "beta": model.beta.tolist(), "inverse": model.inverse.tolist(),
         "s2": model.s2, "n": model.n, "criterion": model.criterion, "converged": model.converged, "calls": model.calls,
+        "given": model.given, "aliased": model.aliased,
     }
     model.spark.createDataFrame([(json.dumps(record),)], "parameters string").coalesce(1).write.mode(
         "overwrite"
@@ -35,5 +38,5 @@ def load_model(spark: SparkSession, path: str) -> MixedModel:
         d.Scales(tuple(r["shift"]), tuple(r["scale"]), r["y_shift"], r["y_scale"]),
         Structure(r["width"], r["z"], r["levels"]), np.array(r["theta"]), np.array(r["beta"]), np.array(r["inverse"]),
         r["s2"], r["n"], r["criterion"], r["converged"], r["calls"], spark.read.parquet(f"{path}/groups"),
-        r["response"], r["family"], r["extra"],
+        r["response"], r["family"], r["extra"], r["given"], r["aliased"],
     )

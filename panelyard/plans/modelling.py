@@ -182,6 +182,13 @@ def balanced_slopes(spark, sf_dir):
     return model_summary(fit_mixed(balanced(spark, sf_dir), "sloped", ["k"], "nation", ["k"]))
 
 
+# A term that another one determines has no estimate and changes nothing for the rest.
+@query("m4_balanced_aliased", f"{_BALANCED_SLOPES} UNION ALL SELECT 'twice', NULL")
+def balanced_aliased(spark, sf_dir):
+    rows = balanced(spark, sf_dir).withColumn("twice", 2 * F.col("k") + 1)
+    return model_summary(fit_mixed(rows, "sloped", ["k", "twice"], "nation", ["k"]))
+
+
 @query("m5_nested_mixed_model")
 def nested_mixed_model(spark, sf_dir):
     return model_summary(
@@ -212,7 +219,53 @@ def balanced_nested_layout(spark, sf_dir):
 @query("m5b_nested_new_counts")
 def nested_new_counts(spark, sf_dir):
     rows = exposed_panel(spark, sf_dir).withColumn("y", safe_log("new_placed"))
-    return model_summary(fit_mixed(rows, "y", ["exposure"], "nation", ["exposure"], outer="region"))
+    return model_summary(fit_mixed(rows, "y", ["exposure"], "nation", ["exposure"], outer="region", crossed=True))
+
+
+def two_way(spark, sf_dir):
+    """Mean prices per customer nation, return flag and line number, with levels of the nations and of the flags."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    level = F.col("c_nationkey") / 10 + (F.ascii("l_returnflag") % 7) / 3
+    return (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("nation"), F.col("l_returnflag").alias("flag"), "l_linenumber")
+        .agg((F.avg("l_extendedprice") / 10000).alias("price"), F.first(level).alias("level"))
+        .select("nation", "flag", (F.col("price") + F.col("level")).alias("y"))
+    )
+
+
+# Balanced two-way layout without interaction: REML equals the analysis-of-variance estimates.
+_TWO_WAY = """WITH t AS (SELECT c_nationkey AS nation, l_returnflag AS flag,
+      avg(l_extendedprice) / 10000 + c_nationkey / 10.0 + (ascii(l_returnflag) % 7) / 3.0 AS y
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, l_returnflag, l_linenumber),
+  s AS (SELECT count(*) AS n, avg(y) AS m, count(DISTINCT nation) AS a, count(DISTINCT flag) AS b, var_pop(y) * count(*) AS ss FROM t),
+  e AS (SELECT var_samp(y) AS v FROM (SELECT avg(y) AS y FROM t GROUP BY nation)),
+  f AS (SELECT var_samp(y) AS v FROM (SELECT avg(y) AS y FROM t GROUP BY flag)),
+  q AS (SELECT m, n, a, b, n / a * e.v AS mse_a, n / b * f.v AS mse_b,
+      (ss - n / a * e.v * (a - 1) - n / b * f.v * (b - 1)) / (n - a - b + 1) AS mse FROM s, e, f)"""
+
+
+@query(
+    "m5b_crossed_layout",
+    f"""{_TWO_WAY} SELECT term, round(x, 5) AS estimate FROM (SELECT '(Intercept)' AS term, m AS x FROM q
+        UNION ALL SELECT 'entity variance 0', (mse_a - mse) / (n / a) FROM q
+        UNION ALL SELECT 'outer variance 0', (mse_b - mse) / (n / b) FROM q UNION ALL SELECT 'residual variance', mse FROM q)""",
+)
+def crossed_layout(spark, sf_dir):
+    """Nations and return flags cross: every nation lies in every flag."""
+    return model_summary(fit_mixed(two_way(spark, sf_dir), "y", [], "nation", outer="flag", crossed=True))
+
+
+@query("m5b_crossed_prices")
+def crossed_prices(spark, sf_dir):
+    """All lines: suppliers, and the flags their lines lie in, with slopes of the quantity for both."""
+    rows = log_prices(spark, sf_dir)
+    return model_summary(
+        fit_mixed(rows, "log_price", ["l_quantity"], "l_suppkey", ["l_quantity"], outer="l_returnflag", crossed=True)
+    )
 
 
 def training_panel(spark, sf_dir):
@@ -277,13 +330,15 @@ def returned_lines(spark, sf_dir):
 @query("m8_binomial_mixed_model")
 def binomial_mixed_model(spark, sf_dir):
     model = fit_glmm(
-        returned_lines(spark, sf_dir), "returned", ["year_c", "quantity_z"], "l_suppkey", ["year_c"], "binomial", "lines"
+        returned_lines(spark, sf_dir), "returned", ["year_c", "quantity_z"], "l_suppkey", ["year_c"], "binomial", "lines",
+        method="laplace",
     )
     return model_summary(model)
 
 
 def null_model(spark, sf_dir):
-    return fit_glmm(returned_lines(spark, sf_dir), "returned", [], "l_suppkey", family="binomial", trials="lines")
+    rows = returned_lines(spark, sf_dir)
+    return fit_glmm(rows, "returned", [], "l_suppkey", family="binomial", trials="lines", method="laplace")
 
 
 @query("m9_null_model")
@@ -303,6 +358,25 @@ def poisson(spark, sf_dir):
     return model_summary(fit_glmm(rows, "new_placed", ["exposure"], "nation", family="poisson"))
 
 
+@query("m10_random_slope")
+def negative_binomial_slope(spark, sf_dir):
+    rows = exposed_panel(spark, sf_dir).filter(F.col("new_placed") > 0)
+    return model_summary(fit_glmm(rows, "new_placed", ["exposure"], "nation", ["exposure"], "negbinomial"))
+
+
+@query("m10_nested")
+def negative_binomial_nested(spark, sf_dir):
+    rows = exposed_panel(spark, sf_dir).filter(F.col("new_placed") > 0)
+    return model_summary(fit_glmm(rows, "new_placed", ["exposure"], "nation", family="negbinomial", outer="region"))
+
+
+@query("m11_random_slope")
+def poisson_slope(spark, sf_dir):
+    """Counts of returned lines per supplier and year, levels and trends by supplier."""
+    rows = returned_lines(spark, sf_dir)
+    return model_summary(fit_glmm(rows, "returned", ["year_c"], "l_suppkey", ["year_c"], "poisson", method="laplace"))
+
+
 @query("m11_poisson_fixed")
 def poisson_fixed(spark, sf_dir):
     fit = ols.poisson_regression(exposed_panel(spark, sf_dir), "new_placed ~ exposure")
@@ -396,6 +470,15 @@ def explained_variance(spark, sf_dir):
     return out.select(*[rounded(c, 6) for c in out.columns])
 
 
+@query("m18_binomial_versions")
+def binomial_versions(spark, sf_dir):
+    """Both versions of the binomial R2 of the returned lines; the second needs the null model."""
+    rows = returned_lines(spark, sf_dir)
+    model = fit_glmm(rows, "returned", ["year_c", "quantity_z"], "l_suppkey", family="binomial", trials="lines", method="laplace")
+    out = evaluate.explained_variance(model, rows, null_model(spark, sf_dir))
+    return out.select("version", *[rounded(c, 5) for c in out.columns if c != "version"])
+
+
 @query(
     "m18_balanced_layout",
     f"""{_BALANCED} SELECT 0.0::DOUBLE AS var_fixed, round(d, 5) AS var_random, round(mse, 5) AS var_residual, 0.0::DOUBLE AS r2_marginal,

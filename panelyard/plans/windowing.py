@@ -150,19 +150,23 @@ def qq_points(spark, sf_dir):
     return q.select("o_orderkey", "o_totalprice", rounded("p", 9), rounded("theoretical", 6))
 
 
-_RESIDUALS = f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS x FROM lineitem),
-    k AS (SELECT *, row_number() OVER (ORDER BY round(x, 4), l_orderkey, l_linenumber) AS rn, count(*) OVER () AS n FROM r),
+# In whole cents until the division, so both sides order the residuals alike.
+_RESIDUALS = f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem),
+    g AS (SELECT l_suppkey, CAST(sum(cents) AS BIGINT) AS s, count(*) AS n FROM c GROUP BY 1),
+    r AS (SELECT l_orderkey, l_linenumber, CAST(cents * n - s AS DOUBLE) / n AS x FROM c JOIN g USING (l_suppkey)),
+    k AS (SELECT *, row_number() OVER (ORDER BY x, l_orderkey, l_linenumber) AS rn, count(*) OVER () AS n FROM r),
     q AS (SELECT *, (rn - 0.5::DOUBLE) / n AS p FROM k)
-    SELECT l_orderkey, l_linenumber, round(x, 4) AS residual, round({_quantile_sql("p")}, 6) AS theoretical FROM q"""
+    SELECT l_orderkey, l_linenumber, x AS residual, round({_quantile_sql("p")}, 6) AS theoretical FROM q"""
 
 
 @query("w11_qq_residuals", _RESIDUALS)
 def qq_residuals(spark, sf_dir):
     """Residuals of all lines about the mean of their supplier against the normal distribution."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    means = lines.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("mean"))
-    rows = left_join(lines, means, "l_suppkey").select(
-        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") - F.col("mean"), 4).alias("residual")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", cents.alias("cents"))
+    sums = lines.groupBy("l_suppkey").agg(F.sum("cents").alias("s"), F.count("cents").alias("n"))
+    rows = left_join(lines, sums, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", ((F.col("cents") * F.col("n") - F.col("s")).cast("double") / F.col("n")).alias("residual")
     )
     q = windows.qq_points(rows, "residual", ["l_orderkey", "l_linenumber"])
     return q.select("l_orderkey", "l_linenumber", "residual", rounded("theoretical", 6))

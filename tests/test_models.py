@@ -247,3 +247,257 @@ def test_aliased_and_constant_terms(spark):
     more = ols.predictive_regression(df, "y", ["flat", "x", "twice"]).score(df).orderBy("x").collect()
     np.testing.assert_allclose([r.est for r in more], [r.est for r in one], rtol=1e-8)
     np.testing.assert_allclose([r.sd for r in more], [r.sd for r in one], rtol=1e-8)
+
+
+def crossed_data(seed=11, entities=14, regions=5):
+    """Entities that lie in several regions, unevenly."""
+    rng = np.random.default_rng(seed)
+    u, v = rng.normal(size=(entities, 2)) * [0.9, 0.12], rng.normal(size=(regions, 2)) * [1.1, 0.2]
+    rows = []
+    for e in range(entities):
+        for r in sorted(rng.choice(regions, size=rng.integers(1, 4), replace=False)):
+            for t in range(rng.integers(3, 9)):
+                c = rng.normal()
+                rows.append((f"r{r}", f"g{e}", float(t + 50), c, 20 + 0.4 * t - 0.7 * c + (u[e] + v[r]) @ [1, t] + rng.normal() * 0.5))
+    return pd.DataFrame(rows, columns=["r", "g", "t", "c", "y"])
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_crossed_effects_equal_dense_reml(spark, swap):
+    pdf = crossed_data()
+    entity, outer = ("r", "g") if swap else ("g", "r")
+    df = spark.createDataFrame(pdf).repartition(3)
+    model = fit_mixed(df, "y", ["t", "c"], entity, ["t"], outer=outer, crossed=True)
+    assert model.converged and model.effect_keys == [entity]
+    value, beta, s2, inverse = dense_criterion(pdf, model, model.theta)
+    raw = value + 2 * np.log(model.scales.scale).sum() + (len(pdf) - 3) * 2 * np.log(model.scales.y_scale)
+    assert model.criterion == pytest.approx(raw, rel=1e-9)
+    np.testing.assert_allclose(model.beta, beta, rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(model.inverse, inverse, rtol=1e-5, atol=1e-12)
+    assert model.s2 == pytest.approx(s2, rel=1e-8)
+    for i in range(len(model.theta)):
+        for h in (-0.02, 0.02):
+            moved = model.theta.copy()
+            moved[i] += h
+            assert dense_criterion(pdf, model, moved)[0] > value - 1e-7
+    # Effects and predictions by the dense formulas.
+    x, z, v, y = dense_parts(pdf, model)
+    rest = np.linalg.solve(v, y - x @ beta)
+    fitted = x @ beta
+    for key, lower, frame in zip((entity, outer), model.shape.lowers(model.theta), (model.effects(), model.outer_effects())):
+        got = {r[key]: np.array(r["u"]) for r in frame.collect()}
+        for label in pdf[key].unique():
+            mine = (pdf[key] == label).to_numpy()
+            dense = lower @ lower.T @ z[mine].T @ rest[mine]
+            np.testing.assert_allclose(got[label], dense, rtol=1e-5, atol=1e-8)
+            fitted[mine] += z[mine] @ dense
+    scored = predict.predict(model, spark.createDataFrame(pdf.reset_index())).toPandas().sort_values("index")
+    np.testing.assert_allclose(scored["predicted"], fitted * model.scales.y_scale + model.scales.y_shift, rtol=1e-7)
+    new = predict.predict(model, spark.createDataFrame([("x", "x", 51.0, 0.0)], "g string, r string, t double, c double")).first()
+    est = {r["term"]: r["estimate"] for r in model.coefficients().collect()}
+    assert new["predicted"] == pytest.approx(est["(Intercept)"] + 51 * est["t"], rel=1e-9)
+    assert model.group_effects().count() == pdf[entity].nunique()
+    with pytest.raises(ValueError, match="crossed"):
+        predict.predictive(model, df)
+    with pytest.raises(ValueError, match="crossed"):
+        save_model(model, shared_path(spark, "crossed"))
+
+
+def test_an_entity_in_two_outer_groups_is_never_split_silently(spark):
+    df = spark.createDataFrame(crossed_data())
+    with pytest.raises(ValueError, match="crossed=True"):
+        fit_mixed(df, "y", ["t"], "g", outer="r")
+    with pytest.raises(ValueError, match="several"):
+        fit_glmm(df.withColumn("y", F.floor(F.abs("y"))), "y", ["t"], "g", family="poisson", outer="r")
+
+
+def test_crossed_fit_of_nested_entities_is_the_nested_fit(spark):
+    df = spark.createDataFrame(mixed_data(True))
+    one = fit_mixed(df, "y", ["t"], "g", ["t"], outer="r")
+    two = fit_mixed(df, "y", ["t"], "g", ["t"], outer="r", crossed=True)
+    assert type(one) is type(two)
+    np.testing.assert_allclose(one.theta, two.theta, rtol=1e-8)
+
+
+def test_crossed_fit_limits_its_columns(spark, monkeypatch):
+    from panelyard.models import crossed
+
+    monkeypatch.setattr(crossed, "MOST_COLUMNS", 4)
+    with pytest.raises(ValueError, match="too many levels"):
+        fit_mixed(spark.createDataFrame(crossed_data()), "y", ["t"], "g", outer="r", crossed=True)
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_aliased_terms_leave_the_rest_of_a_mixed_model_alone(spark, nested):
+    pdf = mixed_data(nested).assign(flat=3.0)
+    pdf["both"] = 2 * pdf["t"] - pdf["c"]
+    df, outer = spark.createDataFrame(pdf), "r" if nested else None
+    plain = fit_mixed(df, "y", ["t", "c"], "g", ["t"], outer=outer)
+    model = fit_mixed(df, "y", ["flat", "t", "c", "both"], "g", ["t"], outer=outer)
+    assert model.converged and model.aliased == ["flat", "both"]
+    got = {r["term"]: r for r in model.coefficients().collect()}
+    assert list(got) == ["(Intercept)", "flat", "t", "c", "both"]
+    assert got["flat"]["estimate"] is None and got["both"]["std_error"] is None
+    for row in plain.coefficients().collect():
+        assert got[row["term"]]["estimate"] == pytest.approx(row["estimate"], rel=1e-7)
+        assert got[row["term"]]["std_error"] == pytest.approx(row["std_error"], rel=1e-6)
+    assert model.criterion == pytest.approx(plain.criterion, rel=1e-10)
+    again = load_model(spark, save_model(model, shared_path(spark, "aliased")))
+    assert again.coefficients().where("estimate is null").count() == 2
+    total = predict.predict(again, df).agg(F.sum("predicted")).first()[0]
+    assert total == pytest.approx(predict.predict(plain, df).agg(F.sum("predicted")).first()[0], rel=1e-9)
+    with pytest.raises(ValueError, match="random slopes"):
+        fit_mixed(df, "y", ["t", "c", "both"], "g", ["both"], outer=outer)
+
+
+def test_aliased_terms_of_count_models(spark):
+    pdf = count_data()
+    pdf["twice"] = 2 * pdf["t"]
+    df = spark.createDataFrame(pdf)
+    plain = fit_glmm(df, "c", ["t"], "g", family="poisson", method="laplace")
+    model = fit_glmm(df, "c", ["t", "twice"], "g", family="poisson", method="laplace")
+    np.testing.assert_allclose(model.beta, plain.beta, rtol=1e-6)
+    assert [r["term"] for r in model.coefficients().where("estimate is null").collect()] == ["twice"]
+
+
+def test_infinite_values_are_named(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, float("-inf")), ("b", 1.0, 2.0)], "g string, t double, y double")
+    with pytest.raises(ValueError, match="y has infinite"):
+        fit_mixed(df, "y", ["t"], "g")
+    with pytest.raises(ValueError, match="y has infinite"):
+        fit_glmm(df.selectExpr("g", "y as t", "t as y").withColumnRenamed("t", "y2").withColumnRenamed("y", "t").withColumnRenamed("y2", "y"), "t", ["y"], "g")
+
+
+def test_an_unconverged_fit_warns(spark):
+    df = spark.createDataFrame(mixed_data())
+    with pytest.warns(RuntimeWarning, match="has not converged"):
+        assert not fit_mixed(df, "y", ["t", "c"], "g", ["t"], max_steps=1).converged
+
+
+def dense_laplace(pdf, model, phi, y, size):
+    """-log L of the whole fit by a mode search per group on the plain rows."""
+    m = model.shape.per_level
+    lower, beta, s, binomial = factor(phi[:m], model.shape.r), phi[m:], model.scales, model.family == "binomial"
+    x = np.column_stack([np.ones(len(pdf)), *[(pdf[t] - a) / k for t, a, k in zip(model.terms, s.shift, s.scale)]])
+    total = 0.0
+    for rows in pdf.groupby("g").indices.values():
+        xi, zi, yi, u = x[rows], x[rows][:, model.shape.z] @ lower, y[rows], np.zeros(model.shape.r)
+        for _ in range(60):
+            eta = xi @ beta + zi @ u
+            mu = size / (1 + np.exp(-eta)) if binomial else np.exp(eta)
+            weight = mu * (1 - mu / size) if binomial else mu
+            curve = zi.T @ (weight[:, None] * zi) + np.eye(len(u))
+            u = u - np.linalg.solve(curve, u - zi.T @ (yi - mu))
+        like = yi * eta - (size * np.log1p(np.exp(eta)) if binomial else np.exp(eta))
+        total += 0.5 * u @ u - like.sum() + 0.5 * np.linalg.slogdet(curve)[1]
+    return total
+
+
+@pytest.mark.parametrize(("family", "response", "random"), [("binomial", "k", []), ("binomial", "k", ["t"]), ("poisson", "c", ["t"])])
+def test_laplace_fit_equals_the_dense_one(spark, family, response, random):
+    pdf = count_data()
+    if family == "binomial":  # few trials, where quasi-likelihood is biased
+        pdf["k"] = np.random.default_rng(3).binomial(2, pdf["k"] / 100)
+    df, size = spark.createDataFrame(pdf).repartition(3), 2.0
+    model = fit_glmm(df, response, ["t"], "g", random, family, trials=size, method="laplace", rows_per_chunk=10)
+    quasi = fit_glmm(df, response, ["t"], "g", random, family, trials=size)
+    assert model.converged and model.extra["method"] == "laplace"
+    y, phi = pdf[response].to_numpy(float), np.concatenate([model.theta, model.beta])
+    value = dense_laplace(pdf, model, phi, y, size)
+    assert model.criterion / 2 == pytest.approx(value, rel=1e-9)
+    for i in range(len(phi)):
+        e = np.zeros(len(phi))
+        e[i] = 1e-4
+        up, down = dense_laplace(pdf, model, phi + e, y, size), dense_laplace(pdf, model, phi - e, y, size)
+        assert abs(up - down) / 2e-4 < 0.05
+        assert min(up, down) > value - 1e-6
+    assert value < dense_laplace(pdf, model, np.concatenate([quasi.theta, quasi.beta]), y, size)
+    if family == "binomial" and not random:
+        assert abs(model.theta[0]) > abs(quasi.theta[0])  # quasi-likelihood is biased low
+    # The effects of the stored model are the modes.
+    effect = {r["g"]: r["u"] for r in model.effects().collect()}
+    again = {r["g"]: r["_b"] for r in model.groups.collect()}
+    for g, u in effect.items():
+        np.testing.assert_allclose(u, again[g], atol=2e-4)
+
+
+def nested_counts():
+    rng = np.random.default_rng(21)
+    rows = []
+    for r in range(8):
+        v = rng.normal() * 0.6
+        for e in range(7):
+            u, w = rng.normal() * 0.4, rng.normal() * 0.03
+            for t in range(15):
+                rate = np.exp(1.2 + (0.05 + w) * (t - 7) + u + v)
+                rows.append((f"r{r}", f"g{r}_{e}", float(t), rng.poisson(rate), rng.poisson(rate * rng.gamma(5, 1 / 5))))
+    return pd.DataFrame(rows, columns=["r", "g", "t", "c", "nb"])
+
+
+@pytest.mark.parametrize(("family", "response", "random"), [("poisson", "c", ["t"]), ("negbinomial", "nb", [])])
+def test_nested_count_models_equal_the_dense_penalised_step(spark, family, response, random):
+    """At the fit, the dense mixed-model equations of the working response give the same coefficients and effects, and
+    their likelihood has its optimum at the fitted covariance factors."""
+    pdf = nested_counts()
+    df = spark.createDataFrame(pdf).repartition(3)
+    model = fit_glmm(df, response, ["t"], "g", random, family, outer="r", tolerance=1e-5, rows_per_chunk=6)
+    assert model.converged
+    s = model.scales
+    x = np.column_stack([np.ones(len(pdf)), (pdf["t"] - s.shift[0]) / s.scale[0]])
+    z = x[:, model.shape.z]
+    eta = predict.predict(model, spark.createDataFrame(pdf.reset_index()), kind="link").toPandas().sort_values("index")["predicted"].to_numpy()
+    mu, y = np.exp(eta), pdf[response].to_numpy(float)
+    weight = mu**2 / (mu + mu**2 / model.extra["nb_theta"]) if family == "negbinomial" else mu
+    zeta = eta + (y - mu) / mu
+
+    def value(theta):
+        v = np.diag(1 / weight)
+        for key, lower in zip(("g", "r"), model.shape.lowers(theta)):
+            same = pdf[key].to_numpy()[:, None] == pdf[key].to_numpy()[None, :]
+            v += (z @ lower @ lower.T @ z.T) * same
+        w = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ w @ x, x.T @ w @ zeta)
+        return np.linalg.slogdet(v)[1] + (zeta - x @ beta) @ w @ (zeta - x @ beta), beta
+
+    best, beta = value(model.theta)
+    np.testing.assert_allclose(model.beta, beta, rtol=1e-4, atol=1e-6)
+    for i in range(len(model.theta)):
+        for h in (-0.02, 0.02):
+            moved = model.theta.copy()
+            moved[i] += h
+            assert value(moved)[0] > best - 1e-4
+    assert np.sqrt(model.random_covariance()[1][0, 0]) == pytest.approx(0.6, abs=0.35)
+
+
+def test_a_step_moves_effects_and_sums_only(spark):
+    """The plan of a step reads the rows from their buckets: no exchange between the scan and the sums per task."""
+    from panelyard.models.glmm import CHUNK, Bucketed, Family, spread_hot, step_sums
+
+    df = spark.createDataFrame(count_data()).select("g", F.col("c").cast("double").alias("_y"), F.lit(1.0).alias("_size"), F.col("t").alias("_t1"))
+    table = Bucketed.write(spread_hot(df, "g", 10), ["g"])
+    effects = table.rows.groupBy("g").agg((F.max(CHUNK) + 1).alias("_chunks")).withColumns({n: F.array(F.lit(0.1)) for n in ("_u", "_b")})
+    family = Family("poisson", [F.lit(1.0), F.col("_t1")], [0])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mu, eta = family.predictor(np.array([0.1, 0.2]))
+        out = step_sums(table.with_effects(effects.checkpoint()), ["g"], family, mu, eta, third=True, moved=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scan) == 1 and "Bucketed: true" in scan[0]
+    depth = plan.splitlines().index(scan[0])
+    above = plan.splitlines()[:depth]
+    # Exchanges above the scan: partial sums per entity; the effects' own one is on the other side of the join.
+    path, indent = [], scan[0].index("FileScan")
+    for line in reversed(above):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if at < indent:
+            path.append(line)
+            indent = at
+    join = next(i for i, line in enumerate(path) if "ShuffledHashJoin" in line)
+    assert not any("Exchange" in line for line in path[:join])
+    assert sum("Exchange" in line for line in path[join:]) == 1
+    assert out.agg(F.sum("_rows")).first()[0] == 1500
+    table.forget()
