@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelyard.operators import aggregate as a
+from panelyard.operators.panel import panel_metrics
 from panelyard.plans.registry import query
 from panelyard.plans.tables import LEVELS, PANEL_SQL, order_panel, table, text_date
 
@@ -74,6 +75,23 @@ def kpi_totals(spark, sf_dir):
     return kpi.withColumn("last_date", F.col("last_date").cast("string"))
 
 
+@query(
+    "a5_kpi_levels_and_changes",
+    f"""WITH {PANEL_SQL} SELECT CAST(sum(placed) AS BIGINT) AS placed, CAST(sum(finished) AS BIGINT) AS finished, CAST(sum(open) AS BIGINT) AS open,
+        CAST(sum(placed - finished - open) AS BIGINT) AS active, CAST(sum(d_placed) AS BIGINT) AS new_placed,
+        CAST(sum(d_finished) AS BIGINT) AS new_finished, CAST(sum(d_open) AS BIGINT) AS new_open,
+        CAST(sum(d_placed - d_finished - d_open) AS BIGINT) AS new_active, CAST(max(day) AS VARCHAR) AS last_date,
+        CAST((SELECT max(day) - min(day) FROM panel) AS INTEGER) AS days_covered
+        FROM panel WHERE day = (SELECT max(day) FROM panel)""",
+)
+def kpi_levels_and_changes(spark, sf_dir):
+    """All four levels at the last date, and by how much each changed since the entities' rows before."""
+    levels = [*LEVELS, "active"]
+    metrics = panel_metrics(order_panel(spark, sf_dir), "nation", "day", "placed", ["finished", "open"])
+    kpi = a.kpi_totals(metrics, "day", [*levels, *[f"new_{c}" for c in levels]])
+    return kpi.withColumn("last_date", F.col("last_date").cast("string"))
+
+
 @query(
     "a6_entity_kpi",
     f"""WITH {PANEL_SQL} SELECT nation, CAST(day AS VARCHAR) AS day, placed, finished, open,

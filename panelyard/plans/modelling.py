@@ -86,7 +86,24 @@ def regression_per_entity(spark, sf_dir):
     )
 
 
-@query("m3_adjusted_p_values")
+# The difference of the two slopes of each supplier, and the t distribution of whole degrees of freedom as its finite
+# series in the angle atan(t / sqrt(df)).
+_DIFFERENCES = """WITH g AS (SELECT l_suppkey, l_returnflag = 'R' AS late, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b,
+    regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy
+    FROM lineitem GROUP BY 1, 2),
+  w AS (SELECT l_suppkey, CAST(sum(n) - 4 AS BIGINT) AS df, sum(CASE WHEN late THEN b ELSE -b END) AS estimate,
+    sqrt(sum(syy - b * sxy) / (sum(n) - 4) * sum(1 / sxx)) AS std_error FROM g GROUP BY 1),
+  a AS (SELECT *, atan(abs(estimate / std_error) / sqrt(df)) AS x FROM w),
+  k AS (SELECT *, unnest(range(0, df // 2)) AS k FROM a),
+  s AS (SELECT l_suppkey, df, estimate, x, sum(CASE WHEN df % 2 = 0 THEN exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * power(cos(x), 2 * k) * sin(x)
+    ELSE sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * power(cos(x), 2 * k + 1) * sin(x) END) AS part FROM k GROUP BY ALL),
+  p AS (SELECT l_suppkey, estimate, 1 - CASE WHEN df % 2 = 0 THEN part ELSE 2 / pi() * (x + part) END AS p_value FROM s),
+  o AS (SELECT *, row_number() OVER (ORDER BY p_value, l_suppkey) AS rn, count(*) OVER () AS n FROM p)
+  SELECT l_suppkey, round(estimate, 4) AS estimate, round(p_value, 8) AS p_value,
+    round(least(1, max((n - rn + 1) * p_value) OVER (ORDER BY p_value, l_suppkey ROWS UNBOUNDED PRECEDING)), 8) AS adjusted FROM o"""
+
+
+@query("m3_adjusted_p_values", _DIFFERENCES)
 def adjusted_p_values(spark, sf_dir):
     rows = prices(spark, sf_dir).withColumn("late", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
     fits = ols.grouped_regression(rows, "l_suppkey", "l_extendedprice", ["l_quantity", "late", "l_quantity:late"])
@@ -377,7 +394,22 @@ def poisson_slope(spark, sf_dir):
     return model_summary(fit_glmm(rows, "returned", ["year_c"], "l_suppkey", ["year_c"], "poisson", method="laplace"))
 
 
-@query("m11_poisson_fixed")
+# Newton steps of the Poisson likelihood on the deviation of the exposure from its mean.
+_POISSON = f"""WITH RECURSIVE {PANEL_SQL}, m AS (SELECT avg(exposure) AS m FROM panel),
+  r AS (SELECT CAST(d_placed AS DOUBLE) AS y, (exposure - m) / 1000.0::DOUBLE AS x FROM panel, m),
+  fit(i, a, b) AS (SELECT 0, ln(avg(y)), 0.0::DOUBLE FROM r UNION ALL
+    SELECT i + 1, a + (i11 * u0 - i01 * u1) / (i00 * i11 - i01 * i01), b + (i00 * u1 - i01 * u0) / (i00 * i11 - i01 * i01)
+    FROM (SELECT i, a, b, sum(y - exp(a + b * x)) AS u0, sum(x * (y - exp(a + b * x))) AS u1, sum(exp(a + b * x)) AS i00,
+        sum(x * exp(a + b * x)) AS i01, sum(x * x * exp(a + b * x)) AS i11 FROM fit, r WHERE i < 12 GROUP BY i, a, b)),
+  e AS (SELECT a, b, sum(exp(a + b * x)) AS i00, sum(x * exp(a + b * x)) AS i01, sum(x * x * exp(a + b * x)) AS i11
+    FROM fit, r WHERE i = 12 GROUP BY a, b),
+  v AS (SELECT a, b / 1000 AS b, i11 / (i00 * i11 - i01 * i01) AS va, i00 / (i00 * i11 - i01 * i01) / 1e6 AS vb,
+    -i01 / (i00 * i11 - i01 * i01) / 1e3 AS c, m FROM e, m)
+  SELECT 'exposure' AS term, round(b, 5) AS estimate, round(sqrt(vb), 5) AS std_error FROM v
+  UNION ALL SELECT '(Intercept)', round(a - b * m, 5), round(sqrt(va - 2 * m * c + m * m * vb), 5) FROM v"""
+
+
+@query("m11_poisson_fixed", _POISSON)
 def poisson_fixed(spark, sf_dir):
     fit = ols.poisson_regression(exposed_panel(spark, sf_dir), "new_placed ~ exposure")
     return fit.coefficients.select("term", rounded("estimate", 5), rounded("std_error", 5))

@@ -20,9 +20,9 @@ from panelyard.sources.csv import FILE_DATE
 def stream_snapshots(
     spark: SparkSession, path: str, schema: str, date: str = "Date", file_date: str = FILE_DATE, glob: str | None = None
 ) -> DataFrame:
-    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time. ``schema`` names
-    the columns by position, whatever the header line says, so all files of a stream must share one layout."""
-    reader = spark.readStream.schema(schema).option("header", True)
+    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time. All files of a
+    stream share the layout of ``schema``: a file whose header has other columns or another order stops the stream."""
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.csv(path).select(

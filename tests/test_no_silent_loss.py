@@ -67,3 +67,16 @@ def test_joins_and_mappings(spark):
     mapping = spark.createDataFrame([("a", "p"), ("a", "q")], "f string, t string")
     with pytest.raises(PySparkException, match="repeats"):
         keys.recode_from(left, "k", mapping, "f", "t").collect()
+
+
+def test_a_stream_refuses_a_file_with_swapped_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "01-02-2020.csv").write_text("k,v\na,1\n")
+    stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string, v bigint")
+    ingest.start_ingest(stream, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
+    (tmp_path / "in" / "01-03-2020.csv").write_text("v,k\n5,6\n")
+    stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string, v bigint")
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest.start_ingest(stream, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
+    log = spark.read.parquet(f"{tmp_path}/log")
+    assert [(r["k"], r["v"]) for r in log.collect()] == [("a", 1)]
