@@ -7,26 +7,53 @@ corrected delivery wins over what came before without touching old files.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from panelyard.functions.dates import parse_mdy
 from panelyard.sources.csv import FILE_DATE
 
 
+def _layout(spark: SparkSession, path: str, schema: T.StructType, glob: str | None) -> T.StructType:
+    """``schema`` with the columns as the header of a file that is there names and orders them."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    first = reader.text(path).where("_metadata.file_block_start = 0").select("value").first()
+    if first is None:
+        return schema
+    header = next(csv.reader([first["value"].lstrip("\ufeff")]))
+    if len(header) != len(schema.fields):
+        raise ValueError(f"the files have the columns {header}, not {schema.fieldNames()}")
+    if set(header) == set(schema.fieldNames()):
+        return T.StructType([schema[name] for name in header])
+    return T.StructType([T.StructField(name, f.dataType) for name, f in zip(header, schema.fields, strict=True)])
+
+
 def stream_snapshots(
     spark: SparkSession, path: str, schema: str, date: str = "Date", file_date: str = FILE_DATE, glob: str | None = None
 ) -> DataFrame:
-    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time. All files of a
-    stream share the layout of ``schema``: a file whose header has other columns or another order stops the stream."""
-    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+    """Streaming scan of CSV snapshots with the day taken from the file name and the file's own time.
+
+    Columns are found by the names of ``schema``; where the headers use other names, ``schema`` names the columns by
+    position. All files of a stream share one header: one with other columns or another order stops the stream.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    layout = _layout(spark, path, wanted, glob)
+    named = set(layout.fieldNames()) == set(wanted.fieldNames())
+    reader = spark.readStream.schema(layout).option("header", True).option("enforceSchema", False)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.csv(path).select(
-        "*",
+    sources = wanted.fieldNames() if named else layout.fieldNames()
+    rows = reader.csv(path)
+    found = [F.col(f"`{source}`").alias(name) for source, name in zip(sources, wanted.fieldNames(), strict=True)]
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in layout.fieldNames()]  # those of folder names
+    return rows.select(
+        *found,
+        *others,
         parse_mdy(F.regexp_extract(F.col("_metadata.file_path"), file_date, 1)).alias(date),
         F.col("_metadata.file_modification_time").alias("_file_time"),
     )

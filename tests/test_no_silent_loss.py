@@ -69,14 +69,30 @@ def test_joins_and_mappings(spark):
         keys.recode_from(left, "k", mapping, "f", "t").collect()
 
 
-def test_a_stream_refuses_a_file_with_swapped_columns(spark, tmp_path):
+def test_a_stream_never_mixes_up_swapped_columns(spark, tmp_path):
+    """A later delivery in another order is read by its names; two orders in one delivery stop the stream."""
     (tmp_path / "in").mkdir()
+
+    def ingested(name="log"):
+        stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string, v bigint")
+        ingest.start_ingest(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-state").awaitTermination()
+        return sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+
     (tmp_path / "in" / "01-02-2020.csv").write_text("k,v\na,1\n")
-    stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string, v bigint")
-    ingest.start_ingest(stream, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
-    (tmp_path / "in" / "01-03-2020.csv").write_text("v,k\n5,6\n")
-    stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string, v bigint")
+    assert ingested() == [("a", 1)]
+    (tmp_path / "in" / "01-03-2020.csv").write_text("v,k\n5,much longer than the other file\n")
+    assert ingested() == [("a", 1), ("much longer than the other file", 5)]
     with pytest.raises(Exception, match="(?i)header"):
-        ingest.start_ingest(stream, f"{tmp_path}/log", f"{tmp_path}/state").awaitTermination()
-    log = spark.read.parquet(f"{tmp_path}/log")
-    assert [(r["k"], r["v"]) for r in log.collect()] == [("a", 1)]
+        ingested("both")
+
+
+def test_a_stream_finds_columns_by_name_or_by_position(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "01-02-2020.csv").write_text("v,k\n1,a\n")
+    for schema, expected in (("k string, v bigint", ("a", 1)), ("n bigint, name string", (1, "a"))):
+        state = tmp_path / schema[0]
+        stream = ingest.stream_snapshots(spark, f"{tmp_path}/in", schema)
+        ingest.start_ingest(stream, f"{state}/log", f"{state}/state").awaitTermination()
+        assert tuple(spark.read.parquet(f"{state}/log").first())[:2] == expected
+    with pytest.raises(ValueError, match="columns"):
+        ingest.stream_snapshots(spark, f"{tmp_path}/in", "k string")
