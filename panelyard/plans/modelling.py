@@ -16,7 +16,7 @@ from panelyard.operators.aggregate import mean_squared_error
 from panelyard.plans.composites import exposed_panel
 from panelyard.plans.registry import query
 from panelyard.plans.tables import PANEL_SQL, order_panel, rounded, table, text_date
-from panelyard.session import shared_path
+from panelyard.session import cut_lineage, shared_path
 
 
 def prices(spark, sf_dir):
@@ -285,17 +285,18 @@ def crossed_prices(spark, sf_dir):
     )
 
 
-def training_panel(spark, sf_dir):
+def training_panel(panel):
     """Rows with new orders, last 21 per nation, as the forecast is trained."""
-    rows = p.recent_active_window(exposed_panel(spark, sf_dir), "nation", "new_placed", "exposure", 21)
+    rows = p.recent_active_window(panel, "nation", "new_placed", "exposure", 21)
     return rows.withColumn("log_placed", safe_log("placed"))
 
 
 @query("m6_mixed_forecast")
 def mixed_forecast(spark, sf_dir):
     """The forecast end to end: panel, training window, fit, grid, predictive interval."""
-    model = fit_mixed(training_panel(spark, sf_dir), "log_placed", ["exposure"], "nation", ["exposure"])
-    grid = p.forecast_grid(exposed_panel(spark, sf_dir), "nation", "day", "exposure", keep=["region"])
+    panel = cut_lineage(exposed_panel(spark, sf_dir))  # read by the fit's two passes and by the grid
+    model = fit_mixed(training_panel(panel), "log_placed", ["exposure"], "nation", ["exposure"])
+    grid = p.forecast_grid(panel, "nation", "day", "exposure", keep=["region"])
     out = predict.with_interval(predict.predictive(model, grid))
     return out.select(
         "nation", "region", text_date("day"), "exposure", *[rounded(c, 5) for c in ("est", "sd", "lower", "upper")]

@@ -501,3 +501,24 @@ def test_a_step_moves_effects_and_sums_only(spark):
     assert sum("Exchange" in line for line in path[join:]) == 1
     assert out.agg(F.sum("_rows")).first()[0] == 1500
     table.forget()
+
+
+def test_both_versions_of_the_binomial_r2(spark):
+    pdf = count_data()
+    df = spark.createDataFrame(pdf)
+    model = fit_glmm(df, "k", ["t"], "g", family="binomial", trials=100.0, method="laplace")
+    null = fit_glmm(df, "k", [], "g", family="binomial", trials=100.0, method="laplace")
+    rows = {r["version"]: r for r in evaluate.explained_variance(model, df, null).collect()}
+    one = evaluate.explained_variance(model, df).first()
+    assert rows["theoretical"]["r2_conditional"] == pytest.approx(one["r2_conditional"], rel=1e-12)
+    eta, spread = null.coefficients().first()["estimate"], float(null.random_covariance()[0][0, 0])
+    eta -= 0.5 * spread * np.tanh(eta * (1 + 2 * np.exp(-0.5 * spread)) / 6)
+    share = 1 / (1 + np.exp(-eta))
+    # The correction brings the intercept close to the mean share of all trials.
+    assert share == pytest.approx(pdf["k"].mean() / 100, abs=0.02)
+    delta = rows["delta"]
+    assert delta["var_residual"] == pytest.approx(1 / (share * (1 - share)), rel=1e-9)
+    total = delta["var_fixed"] + delta["var_random"] + delta["var_residual"]
+    assert delta["r2_marginal"] == pytest.approx(delta["var_fixed"] / total, rel=1e-9)
+    with pytest.raises(ValueError, match="binomial"):
+        evaluate.explained_variance(fit_mixed(df.withColumn("y", F.col("t") * 2.0), "t", [], "g"), df, null)
