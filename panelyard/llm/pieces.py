@@ -49,6 +49,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes_at.items()}
         self.unknown = sp.unk_id()
         self.silent = {i for i in range(len(self.names)) if sp.is_control(i)}
+        self.special = frozenset({self.unknown, *self.byte_of, *self.silent})
         normal = [
             i
             for i in range(len(self.names))
@@ -68,9 +69,12 @@ class Pieces:
             and len(set(many)) == len(many)
             and all(self.score[p] < low for p in runs)
         )
+        self.lines_part = self.cuttable and not any("\n" in p for p in self.ids)
+        self.line_end = array("i", self._named(["\n"])).tobytes()
         self.lengths = [len(n) for n in self.names]
         self.shorter: list[int] = [-1] * len(self.names)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by one number of both ids
+        self.size = len(self.names)
         self.words = Words(self)
         self.automaton = ahocorasick.Automaton()
         reachable = {p for p in words if self.merge(p) == [p]}
@@ -137,49 +141,56 @@ class Pieces:
         return out
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        """True if merging the two pieces' text anew gives the two pieces."""
+        key = a * self.size + b
+        known = self.pairs.get(key)
         if known is None:
             known = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[key] = known
         return known
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a stretch without runs of marks; characters outside the vocabulary become bytes."""
-        longest = [-1] * len(text)
-        lengths, shorter = self.lengths, self.shorter
+        size = len(text)
+        longest = [-1] * size
+        lengths, shorter, pairs, pieces = self.lengths, self.shorter, self.pairs, self.size
         for end, k in self.automaton.iter(text):
             longest[end - lengths[k] + 1] = k  # ends ascend, so the last one kept is the longest
         out: list[int] = []
         start = 0
-        while start < len(text):
+        while start < size:
             if longest[start] < 0:  # no piece holds this character: nothing merges across it
                 out += self._named([text[start]])
                 start += 1
                 continue
             stop = start
-            while stop < len(text) and longest[stop] >= 0:
+            while stop < size and longest[stop] >= 0:
                 stop += 1
             failed = bytearray((stop - start >> 3) + 1)
             stack: list[int] = []
-            pos, token = start, longest[start]
+            pos, token, last = start, longest[start], -1
             while pos < stop:
-                last = stack[-1] if stack else -1
                 while token >= 0:
                     end = pos + lengths[token]
                     at = end - start
-                    if not failed[at >> 3] >> (at & 7) & 1 and (last < 0 or self.compatible(last, token)):
-                        break
+                    if not failed[at >> 3] >> (at & 7) & 1:
+                        if last < 0:
+                            break
+                        fits = pairs.get(last * pieces + token)
+                        if fits or (fits is None and self.compatible(last, token)):
+                            break
                     token = shorter[token]
                 if token >= 0:
                     stack.append(token)
-                    pos = end
+                    last, pos = token, end
                     token = longest[pos] if pos < stop else -1
                 else:
                     at = pos - start
                     failed[at >> 3] |= 1 << (at & 7)
                     token = stack.pop()
+                    last = stack[-1] if stack else -1
                     pos -= lengths[token]
             out += stack
             start = stop
@@ -202,6 +213,10 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text)[0], "<i4").tolist()
 
+    def spell(self, ids: list[int], text: str) -> bool:
+        """True if the ids are pieces alone, no bytes or controls, that make ``text`` as they stand."""
+        return self.special.isdisjoint(ids) and "".join([self.names[k] for k in ids]) == text
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte runs as UTF-8, marks as spaces, the first mark left out."""
         out: list[str] = []
@@ -257,15 +272,18 @@ class Words(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.before, self.odd = pieces, {}, set()
+        self.pieces, self.before, self.odd, self.tails = pieces, {}, set(), Tails(pieces)
 
     def __missing__(self, word: str) -> bytes:
         got = self.before.get(word)
         if got is None:
-            ids = self.pieces.unit(MARK + word)
-            got = array("i", ids).tobytes()
-            if self.pieces.decode(ids) != word:
-                self.odd.add(word)
+            if self.pieces.lines_part and "\n" in word:
+                got = self._lines(word)
+            else:
+                ids = self.pieces.unit(MARK + word)
+                got = array("i", ids).tobytes()
+                if not self.pieces.spell(ids, MARK + word) and self.pieces.decode(ids) != word:
+                    self.odd.add(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
                 self.before = dict(self)
@@ -274,6 +292,34 @@ class Words(dict):
         return got
 
 
+    def _lines(self, word: str) -> bytes:
+        """A word with line ends, which no piece holds: the words around them, of which all but the first have no mark."""
+        first, *rest = word.split("\n")
+        parts = [self[first], *map(self.tails.__getitem__, rest)]
+        if first in self.odd or not self.tails.odd.isdisjoint(rest):
+            self.odd.add(word)
+        return self.pieces.line_end.join(parts)
+
+
+class Tails(dict):
+    """Packed ids of what follows a line end up to the next space or line end."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces, self.odd = pieces, set()
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.pieces.backtrack(text)
+        got = array("i", ids).tobytes()
+        if not self.pieces.spell(ids, text) and self.pieces.decode([self.pieces.ids[MARK], *ids]) != text:
+            self.odd.add(text)
+        if len(text) <= 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[text] = got
+        return got
+
+
 def _utf8(raw: bytes) -> str:
     """UTF-8, each byte that starts no valid character as one replacement mark."""
     try:
