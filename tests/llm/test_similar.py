@@ -39,3 +39,58 @@ def test_pairs_of_similarity_080_are_found(spark):
     assert got == dict(enumerate(labels.tolist()))
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(labels.tolist()))
+
+
+def test_groups_linked_through_neighbours_take_few_rows(spark, monkeypatch):
+    """A chain of 200 windows over one text, and 400 changed copies of a base that is not there itself."""
+    rng = random.Random(3)
+    line = [f"c{rng.randrange(10**6)}" for _ in range(13 * 200 + 260)]
+    texts = [" ".join(line[13 * k : 13 * k + 260]) for k in range(200)]
+    base = [f"b{k}" for k in range(300)]
+    for _ in range(400):
+        own = list(base)
+        for at in rng.sample(range(300), 3):
+            own[at] = f"n{rng.random()}"
+        texts.append(" ".join(own))
+    tried = []
+    linked = similar._Groups.linked
+
+    def counted(self, pairs):
+        tried.append(pairs.count())
+        return linked(self, pairs)
+
+    monkeypatch.setattr(similar._Groups, "linked", counted)
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SHAPE)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
+    assert got == {k: 0 if k < 200 else 200 for k in range(600)}
+    assert sum(tried) <= 6 * len(texts)
+
+
+def test_tiles_of_small_blocks_give_the_same_groups(spark):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        own = list(base)
+        for at in rng.sample(range(120), 3 + k % 5):
+            own[at] = f"n{rng.random()}"
+        texts.append(" ".join(own))
+    sets = [set(similar.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    labels = np.arange(90)
+    if near:
+        simhash.merge_labels(labels, *np.array(near).T)
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SHAPE)
+    for how in (similar.Similar(), similar.Similar(productive=0, nearest=1, block=8, part=3)):
+        got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df, how).collect()}
+        assert got == dict(enumerate(labels.tolist()))
+
+
+def test_awkward_rows_of_similar(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long, "x", 1, 2), (2, long + " end", "x", 1, 2), (3, None, "x", 1, 2), (4, "", "x", 1, 2), (4, "", "x", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, root int, n int")
+    got = sorted((r["doc_id"], r["component_id"]) for r in similar.similar_documents(df).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (4, 3)]
+    assert similar.keep_one(df).columns == df.columns
+    assert similar.similar_documents(df.limit(0)).count() == 0
