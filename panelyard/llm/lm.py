@@ -1,7 +1,8 @@
 """Language-model scoring with word pairs, counted over the whole corpus and looked up in Elias-Fano tries.
 
-Documents are taken in chunks of a few million words. A chunk sends each distinct word once to be counted and
-numbered, and each distinct pair once to the shard that holds its context; the same message carries the pair's count
+Documents are taken in chunks of a few million words, written once in buckets and joined with what comes back where
+they lie. A chunk sends each distinct word once to be counted and numbered, in one packed message for each range of
+word hashes, and each distinct pair once to the shard that holds its context; the same message carries the pair's count
 and asks for its probability. A shard adds the counts of all chunks, smooths them, builds its trie and answers every
 chunk. So only distinct pairs per chunk travel, there and back, and neither the vocabulary nor the model is ever held
 in one place. A frequent context is spread over ``SPREAD`` shards by its successor.
@@ -12,16 +13,20 @@ Smoothing has a Dirichlet prior: P(w | v) = (c(v w) + m P(w)) / (c(v) + m) with
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces_of, stored
+from panelyard.session import shared_path
+
+from .common import pieces_of
 from .trie import U64, PairTrie, dequantise, quantise
 
 SPREAD = 16
@@ -51,6 +56,30 @@ def _unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def _pack_words(words: Sequence[bytes]) -> bytes:
+    """At least one word; none holds white space."""
+    joined = b"\n".join(words)
+    return np.array([len(joined)], "<i8").tobytes() + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def _unpack_words(raw: bytes) -> list[bytes]:
+    size = int(np.frombuffer(raw[:8], "<i8")[0])
+    return (pa.decompress(raw[8:], size, codec="zstd", asbytes=True) if size else b"").split(b"\n")
+
+
+def _hashes(words: Sequence[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+
+
+def _hash_order(words: Sequence[bytes]) -> np.ndarray:
+    """Places of distinct words in the order of their hashes; words that share one by themselves."""
+    hashes = _hashes(words)
+    order = np.argsort(hashes, kind="stable")
+    if (np.diff(hashes[order]) == 0).any():
+        order = np.array(sorted(range(len(words)), key=lambda k: (hashes[k], words[k])), np.int64)
+    return order
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -58,8 +87,9 @@ class _Numbers(dict):
 
 
 def _chunks(most_bytes: int):
-    """One row per chunk: its documents, their tokens as numbers of the chunk's own word list, and training counts.
-    The end of a document is the empty word, number 0."""
+    """One row per chunk: its documents, their tokens as numbers of the chunk's own words, and these words and their
+    training counts in the order of hashes, ``place`` being their numbers. The end of a document is the empty word,
+    number 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
@@ -75,6 +105,8 @@ def _chunks(most_bytes: int):
             tokens = np.concatenate(parts)
             training = np.repeat(batch["training"].to_numpy(zero_copy_only=False), lengths)
             counts = np.bincount(tokens[training], minlength=len(numbers))
+            words = list(numbers)
+            place = _hash_order(words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([task << 32 | k], pa.int64()),
@@ -82,51 +114,89 @@ def _chunks(most_bytes: int):
                     pa.array([_pack(lengths)], pa.binary()),
                     pa.array([_pack(tokens)], pa.binary()),
                     pa.array([_pack(training)], pa.binary()),
-                    pa.array([list(numbers)], pa.list_(pa.binary())),
-                    pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64())),
+                    pa.array([_pack(place.astype(np.uint32))], pa.binary()),
+                    pa.array([_pack_words([words[i] for i in place])], pa.binary()),
+                    pa.array([_pack(counts[place])], pa.binary()),
+                    pa.array([len(words)], pa.int64()),
                     pa.array([int(counts.sum())], pa.int64()),
                 ],
-                ["chunk", "doc_ids", "lengths", "tokens", "training", "words", "counts", "trained"],
+                ["chunk", "doc_ids", "lengths", "tokens", "training", "place", "words", "counts", "n_words", "trained"],
             )
             k += 1
 
     return run
 
 
-def _numbered(chunks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, pos, id, count, fresh): for each word of a chunk its number and its training count in all chunks.
+def _sent_words(parts: int):
+    """The words of a chunk and their counts: one row for each range of hashes that has a word."""
 
-    Words are dealt to parts by hash and numbered within a part. ``fresh`` marks one of a word's rows.
-    """
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select(
-        "chunk",
-        "pos",
-        F.col("w.words").alias("word"),
-        F.col("w.counts").alias("count"),
-        F.pmod(F.xxhash64("w.words"), F.lit(parts)).alias("part"),
-    )
-    same, inside = Window.partitionBy("part", "word"), Window.partitionBy("part").orderBy("word")
-    return words.repartition("part").select(
-        "chunk",
-        "pos",
-        (F.dense_rank().over(inside).cast("long") * parts + F.col("part")).alias("id"),
-        F.sum("count").over(same).alias("count"),
-        (F.min("chunk").over(same) == F.col("chunk")).alias("fresh"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts = _unpack_words(row["words"]), _unpack(row["counts"], np.int64)
+                part = ((_hashes(words) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ranges = list(zip(begin.tolist(), [*begin[1:].tolist(), len(words)], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[begin], pa.int64()),
+                        pa.array([row["chunk"]] * len(ranges), pa.int64()),
+                        pa.array([_pack_words(words[a:b]) for a, b in ranges], pa.binary()),
+                        pa.array([_pack(counts[a:b]) for a, b in ranges], pa.binary()),
+                    ],
+                    ["part", "chunk", "words", "counts"],
+                )
+
+    return run
+
+
+def _numbered(parts: int):
+    """Numbers and counts over all chunks for the words of each (chunk, part), in the order in which they were sent.
+    Numbers follow the order of hashes, so a message holds rising ones. One message of a part has its known words."""
+
+    def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        asked = [r for batch in held for r in batch.to_pylist()]
+        numbers = _Numbers()
+        lists = []
+        for r in asked:
+            words = _unpack_words(r["words"])
+            lists.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        totals = np.zeros(len(numbers), np.int64)
+        for own, r in zip(lists, asked, strict=True):
+            totals[own] += _unpack(r["counts"], np.int64)
+        ids = np.empty(len(numbers), U64)
+        ids[_hash_order(list(numbers))] = np.arange(1, len(numbers) + 1, dtype=U64) * U64(parts) + U64(asked[0]["part"])
+        known = [int((totals > 0).sum()), *[0] * (len(asked) - 1)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["chunk"] for r in asked], pa.int64()),
+                pa.array([r["part"] for r in asked], pa.int64()),
+                pa.array([_pack(np.diff(ids[own], prepend=U64(0))) for own in lists], pa.binary()),
+                pa.array([_pack(totals[own]) for own in lists], pa.binary()),
+                pa.array(known, pa.int64()),
+            ],
+            ["chunk", "part", "gaps", "totals", "known"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_first_column(batches, part)
+
+    return run
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: global ids and counts in the order of the chunk's word list, and known fresh words."""
+    """Rows sorted by (chunk, part) to one row per chunk: numbers and counts of its words in the order of hashes."""
 
-    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts)
-        count, fresh = table["count"].to_numpy(), table["fresh"].to_numpy()
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        parts = [r for batch in held for r in batch.to_pylist()]
+        ids = np.concatenate([np.cumsum(_unpack(r["gaps"], U64), dtype=U64) for r in parts])
+        totals = np.concatenate([_unpack(r["totals"], np.int64) for r in parts])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([table["chunk"][0].as_py()], pa.int64()),
-                pa.array([_pack(table["id"].to_numpy().astype(U64))], pa.binary()),
-                pa.array([_pack(count.astype(np.int64))], pa.binary()),
-                pa.array([int((fresh & (count > 0)).sum())], pa.int64()),
+                pa.array([parts[0]["chunk"]], pa.int64()),
+                pa.array([_pack(ids)], pa.binary()),
+                pa.array([_pack(totals)], pa.binary()),
+                pa.array([sum(r["known"] for r in parts)], pa.int64()),
             ],
             ["chunk", "ids", "totals", "known"],
         )
@@ -156,7 +226,10 @@ class _Pairs:
 
     def __init__(self, row: dict, shards: int):
         self.tokens = _unpack(row["tokens"], np.uint32)
-        ids, self.totals = _unpack(row["ids"], U64), _unpack(row["totals"], np.int64)
+        place, ids = _unpack(row["place"], np.uint32), np.empty(row["n_words"], U64)
+        ids[place] = _unpack(row["ids"], U64)
+        self.totals = np.empty(row["n_words"], np.int64)
+        self.totals[place] = _unpack(row["totals"], np.int64)
         before = np.r_[np.zeros(1, np.uint32), self.tokens[:-1]]
         key = before.astype(U64) << U64(32) | self.tokens
         unique, self.inverse = np.unique(key, return_inverse=True)
@@ -261,6 +334,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` below the shared folder in buckets of chunks and read it again. Its name leaves the catalog at
+    once; the files stay."""
+    spark = df.sparkSession
+    name = f"panelyard_{uuid.uuid4().hex}"
+    df.write.bucketBy(_buckets(spark), "chunk").option("path", shared_path(spark, label)).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def score_documents(
     docs: DataFrame, model: PairModel | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -277,22 +366,23 @@ def score_documents(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     id_kind = rows.schema["doc_id"].dataType.simpleString()
-    shape = f"chunk long, doc_ids array<{id_kind}>, lengths binary, tokens binary, training binary, words array<binary>, counts array<long>, trained long"
-    chunks = stored(rows.mapInArrow(_chunks(model.chunk_bytes), shape), "lm-chunks")
-    trained, word_rows = chunks.agg(F.sum("trained"), F.sum(F.size("words"))).first()
-    trained, word_rows = trained or 0, word_rows or 0
+    shape = f"chunk long, doc_ids array<{id_kind}>, lengths binary, tokens binary, training binary, place binary, words binary, counts binary, n_words long, trained long"
+    chunks = _bucketed(rows.mapInArrow(_chunks(model.chunk_bytes), shape), "lm-chunks")
+    trained, word_rows = (n or 0 for n in chunks.agg(F.sum("trained"), F.sum("n_words")).first())
     parts = max(1, math.ceil(word_rows / model.words_per_part))
     shards = max(1, math.ceil(trained / model.tokens_per_shard))
-    maps = stored(
-        _numbered(chunks, parts)
-        .repartition("chunk")
-        .sortWithinPartitions("chunk", "pos")
-        .select("chunk", "id", "count", "fresh")
-        .mapInArrow(_maps, "chunk long, ids binary, totals binary, known long"),
-        "lm-maps",
+    sent = chunks.select("chunk", "words", "counts").mapInArrow(
+        _sent_words(parts), "part long, chunk long, words binary, counts binary"
+    )
+    numbered = sent.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _numbered(parts), "chunk long, part long, gaps binary, totals binary, known long"
     )
+    by_chunk = numbered.repartition(_buckets(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "part")
+    maps = _bucketed(by_chunk.mapInArrow(_maps, "chunk long, ids binary, totals binary, known long"), "lm-maps")
     known = maps.agg(F.sum("known")).first()[0] or 0
-    mapped = chunks.select("chunk", "doc_ids", "lengths", "tokens", "training").join(maps.drop("known"), "chunk")
+    # Both tables lie in the same buckets: a hash table of the short side in each, and no row of a chunk moves.
+    payload = chunks.select("chunk", "doc_ids", "lengths", "tokens", "training", "place", "n_words")
+    mapped = payload.join(maps.drop("known").hint("shuffle_hash"), "chunk")
     asked = mapped.drop("doc_ids", "lengths").mapInArrow(
         _requests(shards),
         "shard long, chunk long, gaps binary, word binary, count binary, context_total binary, word_total binary",
@@ -303,7 +393,7 @@ def score_documents(
         .mapInArrow(_answers(model, trained, known), "chunk long, shard long, codes binary")
     )
     grouped = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "codes")).alias("answers"))
-    scored = mapped.drop("training").join(grouped, "chunk").mapInArrow(
+    scored = mapped.drop("training").join(grouped.hint("shuffle_hash"), "chunk").mapInArrow(
         _scored(model, trained, known, shards),
         f"doc_id {id_kind}, n_tokens long, n_known long, base_score double, score double",
     )
