@@ -132,7 +132,7 @@ def _sent_words(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words, counts = _unpack_words(row["words"]), _unpack(row["counts"], np.int64)
                 part = ((_hashes(words) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
                 begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -221,6 +221,23 @@ def _by_first_column(batches: Iterator[pa.RecordBatch], row) -> Iterator[pa.Reco
         yield row(held)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them in four bytes."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    fresh = np.r_[True, keys[1:] != keys[:-1]]
+    inverse = np.empty(len(keys), np.uint32)
+    inverse[order] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
+    return keys[fresh], inverse
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: rows are chunks, and only one of them is unpacked. What it took goes back after it."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
+
+
 class _Pairs:
     """Distinct pairs of a chunk in the order in which they are sent: by shard, context, word."""
 
@@ -231,9 +248,8 @@ class _Pairs:
         self.totals = np.empty(row["n_words"], np.int64)
         self.totals[place] = _unpack(row["totals"], np.int64)
         before = np.r_[np.zeros(1, np.uint32), self.tokens[:-1]]
-        key = before.astype(U64) << U64(32) | self.tokens
-        unique, self.inverse = np.unique(key, return_inverse=True)
-        left, right = (unique >> U64(32)).astype(np.int64), (unique & U64(0xFFFFFFFF)).astype(np.int64)
+        unique, self.inverse = _distinct(before.astype(U64) << U64(32) | self.tokens)
+        left, right = (unique >> U64(32)).astype(np.uint32), unique.astype(np.uint32)
         context, word = ids[left], ids[right]
         mixed = (context * U64(SPREAD) + word % U64(SPREAD)) * U64(0x9E3779B97F4A7C15)
         shard = ((mixed ^ (mixed >> U64(29))) % U64(shards)).astype(np.int64)
@@ -247,7 +263,7 @@ class _Pairs:
 def _requests(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 pairs = _Pairs(row, shards)
                 training = _unpack(row["training"], np.bool_)
                 counts = np.bincount(pairs.inverse[training], minlength=len(pairs.order))[pairs.order]
@@ -274,22 +290,26 @@ def _answers(model: PairModel, trained: int, known: int):
 
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         asked = [r for part in parts for r in part.to_pylist()]
-        lists = [
-            [np.cumsum(_unpack(r["gaps"], U64), dtype=U64), _unpack(r["word"], U64), _unpack(r["count"], np.uint32)]
-            + [_unpack(r[c], np.int64) for c in ("context_total", "word_total")]
-            for r in asked
-        ]
-        context, word, count, context_total, word_total = (np.concatenate(c) for c in zip(*lists, strict=True))
+
+        def column(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([_unpack(r.pop(name), kind) for r in asked])
+
+        contexts = [np.cumsum(_unpack(r.pop("gaps"), U64), dtype=U64) for r in asked]
+        end = np.cumsum([len(c) for c in contexts]).tolist()
+        context = np.concatenate(contexts)
+        del contexts
+        word, count = column("word", U64), column("count", np.uint32)
         order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-        total = np.add.reduceat(count[order].astype(np.int64), first)
-        at = first[total > 0]
+        fresh = np.r_[True, (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0)]
+        first = np.flatnonzero(fresh)
+        total = np.add.reduceat(count[order], first, dtype=np.int64)
+        at = order[first[total > 0]]
         total = total[total > 0]
-        single = (word_total[order][at] + 1.0) / (trained + known + 1.0)
-        logs = np.log10((total + model.prior * single) / (context_total[order][at] + model.prior))
+        del order, fresh, first, count
+        single = (column("word_total", np.int64)[at] + 1.0) / (trained + known + 1.0)
+        logs = np.log10((total + model.prior * single) / (column("context_total", np.int64)[at] + model.prior))
         trie = PairTrie(context[at], word[at], quantise(logs))
-        codes = [_pack(trie.lookup(c[0], c[1])) for c in lists]
+        codes = [_pack(trie.lookup(context[a:b], word[a:b])) for a, b in zip([0, *end], end, strict=False)]
         return pa.RecordBatch.from_arrays(
             [pa.array([r["chunk"] for r in asked], pa.int64()), pa.array([r["shard"] for r in asked], pa.int64()), pa.array(codes, pa.binary())],
             ["chunk", "shard", "codes"],
@@ -304,8 +324,7 @@ def _answers(model: PairModel, trained: int, known: int):
 def _scored(model: PairModel, trained: int, known: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for k, row in enumerate(_rows(batch)):
                 pairs = _Pairs(row, shards)
                 codes = np.concatenate([_unpack(a["codes"], np.uint16) for a in sorted(row["answers"], key=lambda a: a["shard"])])
                 single = (pairs.word_total + 1.0) / (trained + known + 1.0)
