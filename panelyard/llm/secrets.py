@@ -88,6 +88,7 @@ def _running(sizes: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,order:int,kind:string,end:int>>"
+RUNS = "array<struct<first:int,last:int>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -124,8 +125,10 @@ def _base(text: Column, kind: str, order: int) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
-    """struct<first, last>: the first and last window of ``word`` that reach the bits of a class (0 if none).
+def _hot_runs(word: Column, taken: Column, scan: EntropyScan) -> Column:
+    """array<struct<first, last>>: the runs of windows of ``word`` that reach the bits of a class, from the first
+    character of a run's first window to the last one of its last (from 1). Windows that share a character are one
+    run. Those that touch an allowed part or a span of ``taken`` (start, end in the word) are in none.
 
     A window's entropy is log2(w) - sum(c log2 c) / w over its character counts. One step adds a character and takes
     one out, and changes the sum by the two terms alone.
@@ -141,9 +144,13 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
 
     def covered(s: Column, i: Column) -> Column:
         return F.exists(
-            s["parts"], lambda m: (m["start"] < i) & (m["start"] + F.char_length(m["found"]) > i - w)
+            s["taken"], lambda m: (m["start"] < i) & (m["end"] > i - w)
         )
 
+    def ended(a: Column) -> Column:
+        run = F.array(F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        return F.when(a["last"] > 0, F.concat(a["runs"], run.cast(RUNS))).otherwise(a["runs"])
+
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
@@ -153,6 +160,7 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
             F.lit(0.0).alias("sum"),
             F.lit(0).alias("first"),
             F.lit(0).alias("last"),
+            F.array().cast(RUNS).alias("runs"),
         )
 
         def step(a: Column, i: Column) -> Column:
@@ -173,40 +181,66 @@ def _hot_stretch(word: Column, scan: EntropyScan) -> Column:
             hot = (found >= s["bits"]) | (found >= bits_of(window))
             # The first two terms are cheap, and the last is not looked at where they fail.
             hit = (i >= w) & (found >= lowest) & hot & ~covered(s, i)
-            return F.struct(
-                counts.alias("counts"),
-                total.alias("sum"),
-                F.when(hit & (a["first"] == 0), i - (w - 1)).otherwise(a["first"]).alias("first"),
-                F.when(hit, i).otherwise(a["last"]).alias("last"),
-            )
+            # One look at ``hit``: its window's end, or 0.
+            bound = F.array(F.struct(F.when(hit, i).otherwise(F.lit(0)).alias("end"), a.alias("a")))
+
+            def moved(t: Column) -> Column:
+                end, old_run = t["end"], t["a"]
+                new_run = (end > 0) & (old_run["last"] <= end - w)
+                return F.struct(
+                    F.when(new_run, end - (w - 1)).otherwise(old_run["first"]).alias("first"),
+                    F.when(end > 0, end).otherwise(old_run["last"]).alias("last"),
+                    F.when(new_run, ended(old_run)).otherwise(old_run["runs"]).alias("runs"),
+                )
+
+            run = F.transform(bound, moved)[0]
+            return F.transform(
+                F.array(run),
+                lambda r: F.struct(
+                    counts.alias("counts"), total.alias("sum"), r["first"].alias("first"), r["last"].alias("last"), r["runs"].alias("runs")
+                ),
+            )[0]
 
         return F.aggregate(
             F.sequence(F.lit(1), F.size(s["codes"])),
             start,
             step,
-            lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")),
+            ended,
         )
 
     codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    parts = _matches(word, "|".join(f"(?:{p})" for p in scan.allow_parts) or "(?!)")
-    bound = F.array(F.struct(codes.alias("codes"), bits_of(word).alias("bits"), word.alias("word"), parts.alias("parts")))
+    parts = F.transform(
+        _matches(word, "|".join(f"(?:{p})" for p in scan.allow_parts) or "(?!)"),
+        lambda m: F.struct(m["start"].cast("int").alias("start"), (m["start"] + F.char_length(m["found"])).cast("int").alias("end")),
+    )
+    bound = F.array(
+        F.struct(codes.alias("codes"), bits_of(word).alias("bits"), word.alias("word"), F.concat(parts, taken).alias("taken"))
+    )
     return F.transform(bound, scanned)[0]
 
 
-def _entropy(text: Column, scan: EntropyScan) -> Column:
+def _entropy(text: Column, base: Column, scan: EntropyScan) -> Column:
     allowed = "|".join(f"(?:{p})" for p in scan.allow) or "(?!)"
     kept = F.filter(_matches(text, CANDIDATE), lambda m: ~F.rlike(m["found"], F.lit(allowed)))
-    hot = F.transform(kept, lambda m: F.struct(m["start"], _hot_stretch(m["found"], scan).alias("hot")))
-    spans = F.transform(
-        F.filter(hot, lambda h: h["hot"]["last"] > 0),
-        lambda h: F.struct(
-            (h["start"] + h["hot"]["first"] - 1).cast("int").alias("start"),
-            F.lit(len(KINDS)).alias("order"),
-            F.lit(ENTROPY).alias("kind"),
-            (h["start"] + h["hot"]["last"]).cast("int").alias("end"),
-        ),
-    )
-    return F.when(F.rlike(text, F.lit(CANDIDATE)), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+    def spans(m: Column) -> Column:
+        end = m["start"] + F.char_length(m["found"])
+        taken = F.transform(
+            F.filter(base, lambda b: (b["start"] < end) & (b["end"] > m["start"])),
+            lambda b: F.struct((b["start"] - m["start"]).cast("int").alias("start"), (b["end"] - m["start"]).cast("int").alias("end")),
+        )
+        return F.transform(
+            _hot_runs(m["found"], taken, scan),
+            lambda h: F.struct(
+                (m["start"] + h["first"] - 1).cast("int").alias("start"),
+                F.lit(len(KINDS)).alias("order"),
+                F.lit(ENTROPY).alias("kind"),
+                (m["start"] + h["last"]).cast("int").alias("end"),
+            ),
+        )
+
+    found = F.flatten(F.transform(kept, spans))
+    return F.when(F.rlike(text, F.lit(CANDIDATE)), found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def find_secrets(
@@ -214,18 +248,16 @@ def find_secrets(
 ) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, order, kind, end) sorted by start and kind, ends exclusive.
 
-    ``base`` holds the pattern spans. ``spans`` adds stretches of high entropy that overlap none of them. A missing
+    ``base`` holds the pattern spans. ``spans`` adds runs of windows of high entropy that touch none of them; two keys
+    with plain text between them are two spans, and a key right behind a pattern span is one of its own. A missing
     or empty text has no spans. Repeated rows and missing ids give one row each; other columns are left out.
     """
     scan = scan or EntropyScan()
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*(_base(text, kind, k) for k, kind in enumerate(KINDS))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), base.alias("base"), _entropy(text, scan).alias("more"))
-    extra = F.filter(
-        "more",
-        lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-    )
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), base.alias("base"))
+    more = _entropy(F.col("text"), F.col("base"), scan)
+    return rows.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
