@@ -296,6 +296,71 @@ def test_passages_find_changed_copies(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def passage_links(spark, texts):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = passages.repeated_passages(df).where("kind = 'passage'").collect()
+    return {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in found}
+
+
+def test_passages_at_the_least_similarity_are_found(spark):
+    """Passages of 60 words between others, with every fifth, sixth, eighth and tenth word changed, by rule and at
+    random; the share of words that differ is at most a fifth."""
+    rng = random.Random(7)
+    texts, wanted = [], set()
+    for every in (5, 6, 8, 10):
+        for turn in range(24):
+            shared = [f"s{rng.random()}" for _ in range(60)]
+            own = list(shared)
+            at = range(every - 3, 60, every) if turn % 2 else rng.sample(range(1, 59), 60 // every - 1)
+            for k in at:
+                own[k] = f"c{rng.random()}"
+            wanted.add((len(texts), len(texts) + 1))
+            for part in (shared, own):
+                ahead, behind = rng.randrange(40), rng.randrange(40)
+                texts.append([*words(rng.random(), ahead, 5000), *part, *words(rng.random(), behind, 5000)])
+    assert passage_links(spark, texts) == wanted
+
+
+def test_passages_with_earlier_parts_elsewhere_are_found(spark):
+    """Both halves of a passage, each below the least length, lie in other texts; so does a line in many texts."""
+    wanted, texts = set(), []
+    for k in range(40):
+        shared = [f"p{k}_{j}" for j in range(60)]
+        start = len(texts)
+        for part in (shared[:30], shared[30:], shared, shared, shared[:30], shared[30:]):
+            texts.append([*words(1000 + len(texts), 40, 50_000), *part, *words(5000 + len(texts), 30, 50_000)])
+        wanted.add((start + 2, start + 3))
+    assert passage_links(spark, texts) == wanted
+    line = [f"l{j}" for j in range(60)]
+    many = [[*words(9000 + k, 40, 50_000), *line] for k in range(50)]
+    links = passage_links(spark, many)
+    reached = {0}
+    for _ in many:
+        reached |= {x for link in links if reached & set(link) for x in link}
+    assert reached == set(range(50)) and len(links) <= 5 * 50
+
+
+def test_passages_of_long_words_and_after_common_seeds(spark):
+    """Words of 100 bytes; a passage whose inner part alone shares seeds that are not everywhere; a poor tail."""
+    long = [f"{j}/" + "u" * 100 for j in range(52)]
+    texts = [[*words(1, 60, 5000), *long, *words(2, 60, 5000)], [*words(3, 70, 5000), *long, *words(4, 20, 5000)]]
+    core = [f"k{j}" for j in range(55)]
+    tail = [f"t{j}" for j in range(400)]
+    poor = [w if k % 5 in (0, 1, 2) else f"q{k}" for k, w in enumerate(tail)]
+    texts += [[*words(5, 30, 5000), *core, *tail], [*words(6, 30, 5000), *core, *poor]]
+    assert passage_links(spark, texts) == {(0, 1), (2, 3)}
+
+
+def test_alignments_go_on_beyond_the_first_stretch(spark):
+    shared = [f"a{j}" for j in range(500)]
+    texts = [" ".join([*words(1, 20, 5000), *shared, *words(2, 20, 5000)]), " ".join([*words(3, 90, 5000), *shared])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in (passages.Passages(), passages.Passages(margin=1, bucket=10, part=1)):
+        (one,) = passages.repeated_passages(df, how).collect()
+        spans = {one["doc_id"]: (one["start_word"], one["end_word"]), one["ref_doc_id"]: (one["ref_start"], one["ref_end"])}
+        assert spans == {0: (20, 520), 1: (90, 590)} and one["matched"] == 500
+
+
 def test_best_chain_equals_trying_all():
     how = passages.Passages(k=3, most_gap=10**9)
     rng = random.Random(9)
