@@ -22,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 and above) stays: the
-    one with the smallest id. Rows without an id stay when no row of their group has one; of rows that repeat this id,
+    one with the smallest id. Candidates come from SimHash fingerprints of 256 bits by a Gray-order index inside bands of
+    MinHash values, which stand in for blocks of bits: at this similarity such blocks select nothing. Rows without an id stay when no row of their group has one; of rows that repeat this id,
     one stays."""
     return similar.keep_one(docs)
 

@@ -99,15 +99,15 @@ def _gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def index_links(keys: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
-    """Labels of positions joined by a link within their group: the hierarchical Gray-order index.
+def near_pairs(keys: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions within ``most`` bits in their group, part by part: the hierarchical Gray-order index.
 
-    ``keys`` and ``fps`` are sorted by key and Gray rank. Level 0 holds the fingerprints; a node of the next level
+    ``keys`` and ``fps`` are sorted by key and Gray rank; ``fps`` may have several words a row. Level 0 holds the fingerprints; a node of the next level
     covers ``FANOUT`` neighbours of one group and keeps the bits that all of them share. What a child shares beyond
     its parent is compared on the way down and added to the differences so far.
     """
     n = len(fps)
-    labels = np.arange(n)
+    wide = fps.ndim > 1
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, n])
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -127,20 +127,22 @@ def index_links(keys: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
         low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
         last, owner = last[first + many - 1], owner[first]
     for lower, upper in zip(levels, levels[1:], strict=False):
-        lower.append(lower[1] & ~np.repeat(upper[1], upper[4]))
+        lower.append(lower[1] & ~np.repeat(upper[1], upper[4], axis=0))
     levels[-1].append(levels[-1][1])
 
     load = np.cumsum(np.repeat(sizes, sizes))
+    at_once = PAIRS_AT_ONCE // (fps.shape[1] if wide else 1)
     k = 0
     while k < n:
-        stop = max(k + 1, int(np.searchsorted(load, (load[k - 1] if k else 0) + PAIRS_AT_ONCE, "right")))
+        stop = max(k + 1, int(np.searchsorted(load, (load[k - 1] if k else 0) + at_once, "right")))
         query = np.arange(k, min(stop, n))
-        node, acc = group[query], np.zeros(len(query), np.uint8)
+        node, acc = group[query], np.zeros(len(query), np.uint16 if wide else np.uint8)
         for depth in range(len(levels) - 1, -1, -1):
             pattern, _, last, _, _, own = levels[depth]
             ahead = last[node] > query
             query, node, acc = query[ahead], node[ahead], acc[ahead]
-            acc = acc + np.bitwise_count((fps[query] ^ pattern[node]) & own[node])
+            differ = np.bitwise_count((fps[query] ^ pattern[node]) & own[node])
+            acc = acc + (differ.sum(axis=1, dtype=np.uint16) if wide else differ)
             near = acc <= most
             query, node, acc = query[near], node[near], acc[near]
             if depth:
@@ -148,8 +150,15 @@ def index_links(keys: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
                 offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 query, acc = np.repeat(query, many), np.repeat(acc, many)
                 node = np.repeat(first, many) + offset
-        merge_labels(labels, query, node)
+        yield query, node
         k = stop
+
+
+def index_links(keys: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
+    """Labels of positions joined by a link within their group."""
+    labels = np.arange(len(fps))
+    for a, b in near_pairs(keys, fps, most):
+        merge_labels(labels, a, b)
     return labels
 
 

@@ -1,10 +1,12 @@
 """Documents whose sets of word shingles have a Jaccard similarity above a threshold, and what they connect.
 
-A SimHash index cannot find these: at a similarity of 0.8 fingerprints of 64 bits differ in 9.7 bits on average, and
-blocks for a radius of 15 would have four bits each. Candidates come from bands of MinHash values instead; every
-candidate is confirmed by the similarity of the whole sets. Pairs that are connected already are not compared, and
-candidates are taken in rounds of at most a few for each member, so a large group of copies costs rows in proportion
-to its members, whether they are similar to one of them or only to their neighbours.
+SimHash fingerprints say which documents to compare, found by the hierarchical Gray-order index of ``simhash``. At a
+similarity of 0.8 fingerprints of 64 bits differ in 9.7 bits on average, so blocks of bits for such a radius would have
+less than four bits each and select nothing. Bands of MinHash values deal the documents instead, and fingerprints have
+256 bits. Every candidate is confirmed by the similarity of the whole sets. Leads of bands connect most of a group first, with one
+candidate for each member and round. What is still apart is searched by the index in every band; the documents that it
+connects are compared where their sets lie together, and only links that connect groups are returned, so rows are in
+proportion to the members whether they are similar to one of them, only to their neighbours, or almost.
 """
 
 from __future__ import annotations
@@ -15,15 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_of, stored, texts
-from .graph import components
-from .simhash import SEED, _mixed, shingle_hashes
+from .graph import components, merge_labels
+from .simhash import SEED, _gray_rank, _mixed, fingerprint, near_pairs, shingle_hashes
 
-#: Values of a sketch, two bits each: the low bits of all in the first two columns, the high bits in the others.
-SKETCH = 128
+#: Words of a fingerprint, 64 bits each.
 PLANES = ("s0", "s1", "s2", "s3")
 BLOCK = 1024
 
@@ -31,19 +32,22 @@ BLOCK = 1024
 @dataclass(frozen=True)
 class Similar:
     """Shingles of ``width`` words, similarity ``least``. A pair is a candidate when all ``rows`` values of one of
-    ``bands`` agree and its sketches differ in at most ``most_apart`` of 128 values: a pair at 0.8 is missed with a
-    chance of 3 in 100,000, a more similar one with less. Leads go on while one in ``productive`` of the pairs they make
-    is similar; then members take ``nearest`` candidates at first. ``block`` members of a band are a side of a tile, and
-    ``part`` partners follow one copy of a set. These four steer the work only."""
+    ``bands`` agree and its fingerprints differ in at most ``most_apart`` of 256 bits: a pair at 0.8 is missed with a
+    chance of 2 in 100,000, a more similar one with less. (Bits differ with a chance of 0.15, for four shingles and
+    five of 0.19.) Leads go on while one in ``productive`` of the pairs they make is similar. ``block`` members of a band,
+    or of a group of candidates, are a side of a tile, less if their sets have more than ``hashes`` values in all. There
+    each is compared with its ``nearest`` candidates before the others. ``part`` partners follow one copy of a set.
+    These five steer the work only."""
 
     width: int = 5
     least: float = 0.8
     bands: int = 28
     rows: int = 5
-    most_apart: int = 38
+    most_apart: int = 76
     productive: int = 4
     nearest: int = 4
     block: int = 2048
+    hashes: int = 1_000_000
     part: int = 4096
 
 
@@ -62,21 +66,24 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The SimHash fingerprint, and those of the same shingles under other hashes."""
+    salts = _mixed(np.arange(1, len(PLANES), dtype=np.uint64))
+    return [fingerprint(hashes), *(fingerprint(_mixed(hashes ^ salt)) for salt in salts)]
+
+
 def _codes(how: Similar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             out = []
             for text in batch["text"].to_pylist():
                 hashes = shingle_set(text, how.width)
-                least = minima(hashes, max(SKETCH, how.bands * how.rows))
+                least = minima(hashes, how.bands * how.rows)
                 key = _mixed(np.arange(1, how.bands + 1, dtype=np.uint64))
-                for part in least[: how.bands * how.rows].reshape(how.bands, how.rows).T:
+                for part in least.reshape(how.bands, how.rows).T:
                     key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + part)
-                mixed = _mixed(least[:SKETCH])
-                bits = np.stack([mixed & np.uint64(1), mixed >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)
-                sketch = np.packbits(bits, axis=1).view(np.int64).ravel().tolist()
                 cls = np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).view(np.int64)
-                out.append((int(cls), len(hashes), *sketch, key.view(np.int64)))
+                out.append((int(cls), len(hashes), *wide_fingerprint(hashes), key.view(np.int64)))
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * len(PLANES), pa.list_(pa.int64())]
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -117,38 +124,83 @@ def _confirmed(least: float):
 
 
 def _near(x: str, y: str, how: Similar) -> tuple[Column, Column]:
-    """Differing values of the sketches; and that sizes allow the similarity and the sketches are near."""
+    """Differing bits of the fingerprints; and that sizes allow the similarity and the fingerprints are near."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    differ = [F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}")) for s in PLANES]
-    apart = sum(F.bit_count(low.bitwiseOR(high)) for low, high in zip(differ[:2], differ[2:], strict=True))
+    apart = sum(F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in PLANES)
     return apart, (small >= F.lit(how.least) * large - 1e-9) & (apart <= how.most_apart)
 
 
-def _nearest(how: Similar, most: int):
-    """Rows sorted by (key, tile) with their ``side`` in the tile: for each member the ``most`` nearest candidates of
-    another root, each pair by one end. In the tile of a block with itself all rows are on side 0."""
+def _of_roots(root: np.ndarray) -> np.ndarray:
+    """Labels of positions: the first position with the same root."""
+    _, first, inverse = np.unique(root, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def _candidates(how: Similar):
+    """For a tile of a band: each member with a candidate of another root, with its own root and one that the candidates
+    connect it to. Rows are no more than the members."""
 
     def tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cls, n, root, side = (table[c].to_numpy() for c in ("cls", "n", "root", "side"))
-        sketch = [table[c].to_numpy().view(np.uint64) for c in PLANES]
+        fps = np.stack([table[c].to_numpy().view(np.uint64) for c in PLANES], axis=1)
+        order = np.lexsort([_gray_rank(fps[:, k]) for k in reversed(range(len(PLANES)))])
+        cls, n, root = (table[c].to_numpy()[order] for c in ("cls", "n", "root"))
+        own = _of_roots(root)
+        labels, taken = own.copy(), np.zeros(len(cls), bool)
+        for a, b in near_pairs(np.zeros(len(cls), np.int64), fps[order], how.most_apart):
+            fit = (own[a] != own[b]) & (np.minimum(n[a], n[b]) >= how.least * np.maximum(n[a], n[b]) - 1e-9)
+            a, b = a[fit], b[fit]
+            taken[a] = taken[b] = True
+            merge_labels(labels, own[a], own[b])
+            labels = labels[labels]
+        columns = [cls[taken], root[taken], root[labels[own[taken]]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cls", "root", "other"])
+
+    return _by_tile(tile)
+
+
+def _compared(how: Similar):
+    """For a tile of a group of candidates, with their sets: links between roots, no more than connect them. In the tile of
+    a block with itself all rows are on side 0."""
+
+    def tile(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, root, side = (table[c].to_numpy() for c in ("n", "root", "side"))
+        fps = np.stack([table[c].to_numpy().view(np.uint64) for c in PLANES], axis=1)
+        sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in table["hashes"]]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+        seen = np.zeros(sum(map(len, ids)) + 1, bool)
+        labels = own = _of_roots(root)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
-        for k in range(0, len(left), BLOCK):
-            at = left[k : k + BLOCK]
-            differ = [s[at, None] ^ s[None, right] for s in sketch]
-            apart = sum(np.bitwise_count(differ[k] | differ[k + 2]).astype(np.int16) for k in range(2))
-            small, large = np.minimum(n[at, None], n[right]), np.maximum(n[at, None], n[right])
-            fit = (apart <= how.most_apart) & (root[at, None] != root[right]) & (small >= how.least * large - 1e-9)
-            if right is left:
-                fit &= cls[at, None] < cls[right]
-            i, j = np.nonzero(fit)
-            order = np.lexsort((cls[right[j]], apart[i, j], i))
-            i, j = i[order], j[order]
-            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
-            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
-            i, j = i[rank < most], j[rank < most]
-            columns = [cls[at[i]], cls[right[j]], root[at[i]], root[right[j]], apart[i, j].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "x_root", "y_root", "apart"])
+        # The nearest first, as they connect most of what the others need not be compared for.
+        for nearest in (how.nearest, None):
+            for i in left.tolist():
+                js = right[right > i] if right is left else right
+                js = js[labels[js] != labels[i]]
+                apart = np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1, dtype=np.int64)
+                small, large = np.minimum(n[js], n[i]), np.maximum(n[js], n[i])
+                fit = (apart <= how.most_apart) & (small >= how.least * large - 1e-9) & (small > 0)
+                js, apart = js[fit], apart[fit]
+                if nearest is not None and len(js) > nearest:
+                    js = js[np.argpartition(apart, nearest)[:nearest]]
+                if not len(js):
+                    continue
+                seen[ids[i]] = True
+                many = np.array([len(ids[j]) for j in js])
+                both = np.add.reduceat(seen[np.concatenate([ids[j] for j in js])].astype(np.int32), np.cumsum(many) - many)
+                seen[ids[i]] = False
+                js = js[both >= how.least * (n[i] + n[js] - both) - 1e-9]
+                if len(js):
+                    joined = np.unique(np.r_[labels[i], labels[js]])
+                    labels = np.where(np.isin(labels, joined), joined[0], labels)
+        moved = np.flatnonzero((own == np.arange(len(own))) & (labels != own))
+        yield pa.RecordBatch.from_arrays([pa.array(root[moved]), pa.array(root[labels[moved]])], ["a", "b"])
+
+    return _by_tile(tile)
+
+
+def _by_tile(tile):
+    """Rows arrive sorted by (key, tile)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -168,9 +220,11 @@ def _nearest(how: Similar, most: int):
     return run
 
 
-def _tiles(placed: DataFrame, block: int) -> DataFrame:
-    """Members of bands, once for each pair of blocks of their band that their block is in."""
-    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+def _tiles(placed: DataFrame, how: Similar, with_sets: bool = False) -> DataFrame:
+    """Members (key, own, root) once for each pair of blocks of their key that their block is in."""
+    hashes = F.sum("own.n") / F.lit(how.hashes) if with_sets else F.lit(1)
+    count = F.greatest(F.count("*") / F.lit(how.block), hashes)
+    sizes = placed.groupBy("key").agg(F.ceil(count).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("own.cls", F.lit(SEED)), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = placed.join(sizes, "key").select("key", "blocks", "root", "own.*", own.alias("i")).withColumn("j", other)
@@ -208,16 +262,19 @@ class _Groups:
         found = links.count()
         if found:
             # Only groups are linked from here on, so links between the same groups are one.
-            ends = self.placed(self.placed(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            merged = stored(components(ends.distinct()), "similar-merged")
-            if self.roots is None:
-                self.roots = merged
-            else:
-                new = merged.select(F.col("id").alias("root"), F.col("root").alias("_new"))
-                moved = self.roots.join(new, "root", "left").select("id", F.coalesce("_new", "root").alias("root"))
-                self.roots = stored(moved.union(merged.join(self.roots.select("id"), "id", "left_anti")), "similar-roots")
+            self.merge(self.placed(self.placed(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         return found
 
+    def merge(self, ends: DataFrame) -> None:
+        """Join groups by links (a, b) between their roots."""
+        merged = stored(components(ends.distinct()), "similar-merged")
+        if self.roots is None:
+            self.roots = merged
+        else:
+            new = merged.select(F.col("id").alias("root"), F.col("root").alias("_new"))
+            moved = self.roots.join(new, "root", "left").select("id", F.coalesce("_new", "root").alias("root"))
+            self.roots = stored(moved.union(merged.join(self.roots.select("id"), "id", "left_anti")), "similar-roots")
+
 
 def _open_bands(groups: _Groups, members: DataFrame) -> DataFrame:
     """(key, own, root) of the bands whose members are in several groups."""
@@ -236,8 +293,8 @@ def similar_documents(docs: DataFrame, how: Similar | None = None, id_col: str =
 
     Rounds of leads: one member of each band is compared with the members that are not in its group yet, and each
     member takes the nearest of its bands' leads, so a round has at most one pair for each member. Once leads connect
-    little, every member takes its nearest candidates of other groups from tiles of sketches, eight times as many
-    after a round that linked little, until no member has one that was not compared.
+    little, the Gray-order index finds the members of every band that have candidates in other groups. What candidates
+    connect is compared in tiles, all pairs that are not connected yet, and the links between groups are joined.
     """
     how = how or Similar()
     rows = texts(docs, id_col, text_col)
@@ -252,7 +309,7 @@ def similar_documents(docs: DataFrame, how: Similar | None = None, id_col: str =
     made = rows.join(wanted, "doc_id").select("cls", "text").mapInArrow(_sets(how.width), "cls long, hashes binary")
     groups.sets = stored(made, "similar-sets")
 
-    turn, tested = 0, None
+    turn = 0
     while True:
         order = F.col("own.cls") if turn == 0 else F.xxhash64("own.cls", F.lit(turn))
         leads = bands.groupBy("key").agg(F.min(F.struct(order.alias("order"), "own", F.col("root").alias("lead_root"))).alias("lead"))
@@ -261,8 +318,6 @@ def similar_documents(docs: DataFrame, how: Similar | None = None, id_col: str =
         pairs = bands.join(leads, "key").where((F.col("root") != F.col("lead_root")) & near)
         nearest = F.min(F.struct(apart.alias("apart"), F.col("lead.cls").alias("a"))).alias("best")
         pairs = stored(pairs.groupBy(F.col("own.cls").alias("b")).agg(nearest).select("best.a", "b"), "similar-pairs")
-        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = ends if tested is None else tested.union(ends)
         tried = pairs.count()
         linked = groups.linked(pairs) if tried else 0
         if linked:
@@ -271,28 +326,17 @@ def similar_documents(docs: DataFrame, how: Similar | None = None, id_col: str =
         if linked * how.productive < tried or not linked:
             break
 
-    most = how.nearest
-    while True:
-        tiles = _tiles(bands, how.block).repartition("key", "tile").sortWithinPartitions("key", "tile")
-        found = tiles.mapInArrow(_nearest(how, most + 1), "x long, y long, x_root long, y_root long, apart int")
-        # Both blocks of a pair may be in several bands: the same pair once, whichever end took it.
-        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "apart").distinct()
-        rank = F.row_number().over(Window.partitionBy("x").orderBy("apart", "a", "b"))
-        found = stored(found.withColumn("rank", rank).where(F.col("rank") <= most + 1), "similar-nearest")
-        cut = found.where(F.col("rank") > most).limit(1).count()
-        pairs = found.where(F.col("rank") <= most).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "similar-pairs")
-        tried = pairs.count()
-        linked = 0
-        if tried:
-            tested = tested.union(pairs)
-            linked = groups.linked(pairs)
-        if linked:
-            bands = _open_bands(groups, bands)
-        if not cut:
-            break
-        if not linked or linked * how.productive < tried:
-            most *= 8
+    tiles = _tiles(bands, how)
+    found = tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_candidates(how), "cls long, root long, other long")
+    found = stored(found.distinct(), "similar-candidates")
+    grouped = stored(components(found.select(F.col("root").alias("a"), F.col("other").alias("b"))), "similar-grouped")
+    own = classes.select("cls", F.struct("cls", "n", *PLANES).alias("own"))
+    left = found.select("cls", "root").distinct().join(grouped.select(F.col("id").alias("root"), F.col("root").alias("key")), "root")
+    left = stored(left.join(own, "cls").select("key", "own", "root"), "similar-left")
+    tiles = _tiles(left, how, with_sets=True).join(groups.sets, "cls").repartition("key", "tile").sortWithinPartitions("key", "tile")
+    links = stored(tiles.mapInArrow(_compared(how), "a long, b long"), "similar-links")
+    if not links.isEmpty():
+        groups.merge(links)
 
     named = groups.placed(classes.select("cls", "first"), "cls", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

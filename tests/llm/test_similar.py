@@ -66,6 +66,48 @@ def test_groups_linked_through_neighbours_take_few_rows(spark, monkeypatch):
     assert sum(tried) <= 6 * len(texts)
 
 
+def test_pairs_below_the_threshold_take_few_rows(spark, monkeypatch):
+    """300 changed copies of a base, similar at 0.6 to 0.78, and one pair that is similar enough."""
+    rng = random.Random(5)
+    base, texts = [f"b{k}" for k in range(200)], []
+    for _ in range(300):
+        own = list(base)
+        for at in rng.sample(range(200), 5):
+            own[at] = f"n{rng.random()}"
+        texts.append(" ".join(own))
+    texts.append(texts[7].replace("b3 ", "other "))
+    sets = [set(similar.shingle_set(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(301) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    labels = np.arange(301)
+    simhash.merge_labels(labels, *np.array(near).T)
+    made, stored = [], similar.stored
+
+    def counted(frame, label):
+        found = stored(frame, label)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(similar, "stored", counted)
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SHAPE)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(df).collect()}
+    assert got == dict(enumerate(labels.tolist())) and got[300] == got[7]
+    assert max(made) <= similar.Similar().bands * len(texts)
+
+
+def test_the_index_finds_all_near_fingerprints_of_simhash():
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 2**64, 90, np.uint64)
+    sets = [np.unique(np.r_[hashes[k // 4 :], rng.integers(0, 2**64, k // 2, np.uint64)]) for k in range(60)]
+    codes = [similar.wide_fingerprint(h) for h in sets]
+    assert [c[0] for c in codes] == [simhash.fingerprint(h) for h in sets]
+    fps = np.array(codes).view(np.uint64)
+    fps = fps[np.lexsort([simhash._gray_rank(fps[:, k]) for k in (3, 2, 1, 0)])]
+    for most in (20, 60, 76):
+        found = {(int(a), int(b)) for x in simhash.near_pairs(np.zeros(60, np.int64), fps, most) for a, b in zip(*x, strict=True)}
+        wanted = {(i, j) for i in range(60) for j in range(i + 1, 60) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= most}
+        assert found == wanted and len(wanted) > 0
+
+
 def test_tiles_of_small_blocks_give_the_same_groups(spark):
     rng = random.Random(4)
     base = [f"b{k}" for k in range(120)]
